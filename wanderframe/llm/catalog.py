@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import chat_format, quality_rules, url_filter
 
 
 def queries():
     return {
+        "op3_chat_format": chat_format.query,
         "op6_quality_rules": quality_rules.query,
+        "op9_url_filter": url_filter.query,
     }
 
 
 def oracle_sql():
     return {
+        "op3_chat_format": chat_format.ORACLE,
         "op6_quality_rules": quality_rules.ORACLE,
+        "op9_url_filter": url_filter.ORACLE,
     }
