@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules, url_filter
+from . import chat_format, quality_rules, tokens, url_filter
 
 
 def queries():
     return {
+        "op2_token_counts": tokens.count_query,
         "op3_chat_format": chat_format.query,
         "op6_quality_rules": quality_rules.query,
+        "op7_byte_bpe": tokens.encode_query,
         "op9_url_filter": url_filter.query,
     }
 
