@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules, tokens, url_filter
+from . import chat_format, decontaminate, quality_rules, secret_scan, tokens, url_filter
 
 
 def queries():
@@ -11,7 +11,9 @@ def queries():
         "op3_chat_format": chat_format.query,
         "op6_quality_rules": quality_rules.query,
         "op7_byte_bpe": tokens.encode_query,
+        "op8_decontaminate": decontaminate.query,
         "op9_url_filter": url_filter.query,
+        "op10_secret_scan": secret_scan.query,
     }
 
 
@@ -19,5 +21,6 @@ def oracle_sql():
     return {
         "op3_chat_format": chat_format.ORACLE,
         "op6_quality_rules": quality_rules.ORACLE,
+        "op8_decontaminate": decontaminate.ORACLE,
         "op9_url_filter": url_filter.ORACLE,
     }
