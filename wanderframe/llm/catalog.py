@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, quality_rules, secret_scan, tokens, url_filter
+from . import chat_format, decontaminate, quality_classifier, quality_rules, secret_scan, tokens, toxicity, url_filter
 
 
 def queries():
     return {
+        "op1_quality_classifier": quality_classifier.query,
         "op2_token_counts": tokens.count_query,
         "op3_chat_format": chat_format.query,
+        "op4_toxicity": toxicity.query,
         "op6_quality_rules": quality_rules.query,
         "op7_byte_bpe": tokens.encode_query,
         "op8_decontaminate": decontaminate.query,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
+import sys
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +15,29 @@ from pyspark.sql import functions as F
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
-_local_dirs: list[tempfile.TemporaryDirectory] = []
+_local_dirs: list[tempfile.TemporaryDirectory] = []  # removed when the driver ends
+_scratch: list[str] = []
+
+
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for a context: they need not have it installed."""
+    root, context = Path(__file__).resolve().parent.parent, spark.sparkContext
+    if getattr(context, "_shipped_package", False) or not root.is_dir():
+        return
+    _local_dirs.append(tempfile.TemporaryDirectory(prefix="package-"))
+    path = f"{_local_dirs[-1].name}/{root.name}-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    found = list(sys.path)
+    context.addPyFile(path)  # the driver's file server hands it out; the driver itself goes on with its own
+    sys.path[:] = found
+    context._shipped_package = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read by Spark alone so that any store it knows will do."""
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,10 +52,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _local_dirs:
+    if not _scratch:
         _local_dirs.append(tempfile.TemporaryDirectory(prefix="corpus-scratch-"))
-        atexit.register(_local_dirs[0].cleanup)
-    return f"file://{_local_dirs[0].name}"
+        _scratch.append(f"file://{_local_dirs[-1].name}")
+    return _scratch[0]
 
 
 def written(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
