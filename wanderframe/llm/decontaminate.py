@@ -98,8 +98,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, action: str = "documen
     found = hits(docs, benchmark, window)
     keyed = docs.select("*", *text_key(F.col("text")))
     if action == "spans":
-        both = keyed.join(written(found.select("_k1", "_k2", "hit_words"), "benchmark-hits"), ["_k1", "_k2"], "left")
-        return both.withColumn("text", F.when(F.col("hit_words").isNull(), F.col("text")).otherwise(without_words(F.col("text"), F.col("hit_words")))).select(docs.columns)
+        both = keyed.join(written(found.select("_k1", "_k2", F.col("hit_words").alias("_hits")), "benchmark-hits"), ["_k1", "_k2"], "left")
+        return both.withColumn("text", F.when(F.col("_hits").isNull(), F.col("text")).otherwise(without_words(F.col("text"), F.col("_hits")))).select(docs.columns)
     if action != "documents":
         raise ValueError(action)
     n_words = F.size(split_words(F.col("text"), ANY_CASE_SEPARATORS))

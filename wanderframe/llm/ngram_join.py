@@ -6,13 +6,13 @@ boundary, post the rarest elements of their sets, so many that two linking sets
 which are scanned for candidates. The boundary between small and large is where the subsets, by a cost model
 over the counted set sizes, begin to cost more than the lists.
 
-No list is ever expanded into all its pairs. A list first ties its members to one leader; links that hold
-make components; then each component has one representative in each list, which is tied to the list's
-leading component; and so on. What is left in the end, members of different components in one list, is
-compared in full, each member outside the list's largest component with all others, so no link is lost.
-Candidates are first cut by parity sketches, a lower bound on the difference of two sets, then verified on
-the whole sets. Everything passes through tables in the shared folder; only the frequency classes (a fixed
-4 MB), set size counts of small sets and a bit table of bounded size go through the driver.
+No list is expanded into rows of pairs. The members of a list, in blocks of bounded size, are compared by parity
+sketches, a lower bound on the difference of two sets, in numpy. At first each member names one partner that its
+sketch allows, the least; the named pairs are verified on whole sets, and those that link make components; then
+each names one in another component. In the end all pairs that sketches allow between different components in one
+list are verified, so no link is lost, while copies of copies cost a row each and not a row for each pair.
+Everything passes through tables in the shared folder; only the frequency classes (a fixed 4 MB), set size counts
+of small sets and bit tables of bounded size go through the driver.
 """
 
 from __future__ import annotations
@@ -21,23 +21,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import shipped, table, written
+from .common import discard, shipped, table, written
 from .components import components
 
 #: Largest boundary that is considered, and what scanning a posting costs against making a subset key.
 MOST_BOUNDARY, SCAN_COST = 12, 16
 #: Shingles that are counted at a time, and the sum of repeats from which on a class counts as frequent.
 COUNT_CHUNK, FREQUENT = 1 << 21, 8
-#: Rounds in which representatives are tied before the rest is compared in full.
-STAR_ROUNDS = 2
+#: Rounds in which each set names one partner, before all pairs that are left are verified.
+NAMING_ROUNDS = 2
+#: Members of a list that are compared at a time; longer lists are cut into blocks, and blocks are paired.
+BLOCK = 1024
 #: Bits of the table that tells which documents' sets are wanted: a multiple of their number, up to a bound.
 BITS_EACH, MOST_BITS = 16, 1 << 28
 
-_PROFILE = "kind int, a long, b long, c long, bits array<long>"
+_PROFILE = "kind int, a long, b long, c long, bits binary"
 
 
 def _batched_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str | None]]:
@@ -60,11 +62,11 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch_of(np.ones(n, np.int32), classes.astype(np.int64), sums, np.zeros(n, np.int64), [None] * n)
 
     def batch_of(kind, a, b, c, bits) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], ["kind", "a", "b", "c", "bits"])
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(bits, pa.binary())], ["kind", "a", "b", "c", "bits"])
 
     for doc_id, text in _batched_texts(batches):
         s = S.shingle_set(text)
-        rows.append((0, doc_id, len(s), S.fingerprint(s) if len(s) else None, S.sketch(s) if len(s) else None))
+        rows.append((0, doc_id, len(s), S.fingerprint(s) if len(s) else None, S.sketch(s).tobytes() if len(s) else None))
         pending.append(s)
         waiting += len(s)
         if waiting >= COUNT_CHUNK:
@@ -117,7 +119,8 @@ def _postings(classes, boundary: int):
                 continue
             seen.add(fp)
             if n <= boundary:
-                mine = [(0, np.array(S.subset_keys(s, boundary), np.int64))]
+                own, other = S.subset_keys(s, boundary)
+                mine = [(0, np.array(own, np.int64)), (2, np.array(other, np.int64))]
                 if max(S.partner_sizes(n)) > boundary:
                     mine.append((1, S.prefix(s, order).view(np.int64)))
             else:
@@ -164,52 +167,126 @@ def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(carry[:5], (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["kind", "key", "fp", "n", "first"])
 
 
-def _sizes_may_link(a: str, b: str) -> Column:
-    return S.LINK_DEN * F.least(F.col(a), F.col(b)) >= S.LINK_NUM * F.greatest(F.col(a), F.col(b))
+def _plausible(every: bool):
+    """Compares the members of each (key, i, j), sorted, where blocks i and j of a list meet. Gives (u, v): all pairs of
+    different components that sizes and sketches allow, or for each member just the least partner."""
+
+    def pairs(fp, n, comp, block, bits, i, j) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for lo in range(0, len(left), 64):
+            a = left[lo : lo + 64]
+            ok = (comp[a, None] != comp[None, right]) & (S.LINK_DEN * np.minimum(n[a, None], n[None, right]) >= S.LINK_NUM * np.maximum(n[a, None], n[None, right]))
+            apart = np.bitwise_count(bits[a, None, :] ^ bits[None, right, :]).sum(2, dtype=np.int64)
+            # inter >= NUM / DEN * union leaves so many elements to differ in
+            x, y = np.nonzero(ok & ((S.LINK_NUM + S.LINK_DEN) * apart <= (S.LINK_DEN - S.LINK_NUM) * (n[a, None] + n[None, right])))
+            u, v = fp[a[x]], fp[right[y]]
+            yield np.maximum(u, v), np.minimum(u, v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+        held, size = None, 0
+
+        def flush(group: list) -> None:
+            nonlocal size
+            columns = [np.concatenate(c) for c in zip(*group)]
+            (_, i, j), (fp, n, comp, block, bits) = held, columns
+            for u, v in pairs(fp, n, comp, block, bits, i, j):
+                if not every and len(u):
+                    order = np.lexsort((v, u))
+                    u, v = u[order], v[order]
+                    first = np.append(True, u[1:] != u[:-1])
+                    u, v = u[first], v[first]
+                kept.append(np.stack([u, v]))
+                size += len(u)
+
+        def out() -> pa.RecordBatch:
+            nonlocal kept, size
+            u, v = np.unique(np.concatenate(kept, axis=1), axis=1)
+            kept, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        group: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, i, j, fp, n, comp, block = (batch.column(k).to_numpy() for k in range(7))
+            bits = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(len(key), -1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(key)]):
+                name = (key[lo], i[lo], j[lo])
+                if name != held and group:
+                    flush(group)
+                    group = []
+                    if size > 100_000:
+                        yield out()
+                held = name
+                group.append([x[lo:hi] for x in (fp, n, comp, block, bits)])
+        if group:
+            flush(group)
+        if size:
+            yield out()
+
+    return run
 
 
 class _Verifier:
-    """Which pairs (u, v) of fingerprints link. Cuts by sketch, then fetches the sets that are still needed."""
+    """Which pairs (u, v) of fingerprints link."""
 
     def __init__(self, docs: DataFrame, profiles: DataFrame):
         self.docs = docs
         rows = profiles.filter("kind = 0 AND c IS NOT NULL")
-        self.sketches = written(rows.groupBy(F.col("c").alias("fp")).agg(F.first("b").cast("long").alias("n"), F.first("bits").alias("bits")), "sketches")
-        self.holders = rows.filter("a IS NOT NULL").groupBy(F.col("c").alias("fp")).agg(F.min("a").alias("doc_id"))
-
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """(u, v, apart): pairs whose sketches leave room for a link, and by how many bits they differ."""
-        one, two = (self.sketches.toDF(x, f"n_{x}", f"bits_{x}") for x in "uv")
-        apart = F.aggregate(F.zip_with("bits_u", "bits_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        both = pairs.join(one, "u").join(two, "v").select("u", "v", "n_u", "n_v", apart.alias("apart"))
-        return both.filter(_sizes_may_link("n_u", "n_v") & ((S.LINK_NUM + S.LINK_DEN) * F.col("apart") <= (2 * S.LINK_DEN - S.LINK_NUM - S.LINK_DEN) * (F.col("n_u") + F.col("n_v")))).select("u", "v", "apart")
+        self.sketches = written(rows.groupBy(F.col("c").alias("fp")).agg(F.first("bits").alias("bits")), "sketches")
+        self.holders = written(rows.groupBy(F.col("c").alias("fp")).agg(F.min("a").alias("doc_id")), "holders")
+
+    def plausible(self, lists: DataFrame, comps: DataFrame | None, every: bool) -> DataFrame:
+        """(u, v), u > v: pairs within a list, of different components, whose sketches leave room for a link."""
+        tagged = lists.select("key", "fp", "n")
+        if comps is None:
+            tagged = tagged.withColumn("comp", F.col("fp"))
+        else:
+            tagged = tagged.join(comps.select(F.col("u").alias("fp"), F.col("v").alias("comp")), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+            tagged = written(tagged, "list-members")
+        mixed = tagged.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+        mixed = written(mixed.select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "mixed-lists")
+        block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        each = tagged.join(mixed, "key").join(self.sketches, "fp").select("key", "fp", "n", "comp", "bits", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        each = each.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "n", "comp", "block", "bits")
+        dealt = each.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        pairs = dealt.mapInArrow(_plausible(every), "u long, v long")
+        return written(pairs.distinct() if every else pairs.groupBy("u").agg(F.min("v").alias("v")), "plausible")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs of a written table (u, v) whose sets link, as a written table."""
-        wanted = written(pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct(), "wanted")
-        spark, need = pairs.sparkSession, written(self.holders.join(wanted, "fp"), "holders")
+        spark = pairs.sparkSession
+        sides = pairs.select(F.col("u").alias("fp"), F.lit(1).alias("side")).unionByName(pairs.select(F.col("v").alias("fp"), F.lit(2).alias("side")))
+        need = written(self.holders.join(sides.groupBy("fp").agg(F.bit_or("side").alias("sides")), "fp"), "holders")
         bits = 1 << max(12, int(min(MOST_BITS, BITS_EACH * max(1, need.count()))).bit_length())
         spot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-        words = need.select(F.expr("1").alias("one"), spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(
-            F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("mask")).toArrow()
-        filled = np.zeros(bits // 64, np.int64)
-        filled[words["word"].to_numpy()] = words["mask"].to_numpy()
-        # the table's size is bounded by MOST_BITS; a spot that two ids share costs one set too many and no more
-        told = spark.sparkContext.broadcast(filled.tobytes())
+
+        def table_of(side: int):
+            """Bits of the ids whose sets are wanted on a side. Bounded by MOST_BITS; two ids in one spot cost a set too many and no more."""
+            words = need.filter(F.col("sides").bitwiseAND(F.lit(side)) > 0).select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(
+                F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("mask")).toArrow()
+            filled = np.zeros(bits // 64, np.int64)
+            filled[words["word"].to_numpy()] = words["mask"].to_numpy()
+            return spark.sparkContext.broadcast(filled.tobytes())
+
+        told = table_of(1), table_of(2)
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mask = np.frombuffer(told.value, np.int64)
+            masks = [np.frombuffer(t.value, np.int64) for t in told]
             for batch in batches:
                 at = batch.column(2).to_numpy()
-                hit = np.flatnonzero((mask[at >> 6] >> (at & 63)) & 1)
+                sides = sum(((m[at >> 6] >> (at & 63)) & 1) << k for k, m in enumerate(masks)).astype(np.int32)
+                hit = np.flatnonzero(sides)
                 for lo in range(0, len(hit), 200):
-                    part = batch.take(pa.array(hit[lo : lo + 200]))
-                    found = [S.shingle_set(t) for t in part.column(1).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([S.fingerprint(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "fp", "elements"])
+                    some = hit[lo : lo + 200]
+                    found = [S.shingle_set(t) for t in batch.column(1).take(pa.array(some)).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(sides[some]), pa.array([S.fingerprint(s) if len(s) else None for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["sides", "fp", "elements"])
 
-        texts = self.docs.filter("doc_id IS NOT NULL").select("doc_id", "text", spot.alias("spot"))
-        made = texts.mapInArrow(sets, "doc_id long, fp long, elements binary")
-        elements = written(made.join(need, ["fp", "doc_id"], "left_semi").dropDuplicates(["fp"]).select("fp", "elements"), "sets")
+        texts = self.docs.select("doc_id", "text", spot.alias("spot"))
+        # a set may come twice, from rows that share an id or a spot: then a link does, too, which changes nothing
+        elements = written(texts.mapInArrow(sets, "sides int, fp long, elements binary"), "sets")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -217,31 +294,10 @@ class _Verifier:
                 good = [i for i in range(batch.num_rows) if S.links(np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64))]
                 yield batch.take(pa.array(good, pa.int64())).select([0, 1])
 
-        one, two = (elements.toDF(x, f"set_{x}") for x in "uv")
-        return written(pairs.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "set_u", "set_v").mapInArrow(check, "u long, v long"), "links")
-
-
-def _representative_pairs(lists: DataFrame, comps: DataFrame, round_: int) -> DataFrame:
-    """(u, v): in each list with several components, a representative of each and that of the list's largest."""
-    tagged = lists.join(comps.select(F.col("u").alias("fp"), F.col("v").alias("comp")), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    per = tagged.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct(F.xxhash64(F.lit(round_), "fp").alias("h"), "fp")).alias("rep"))
-    per = written(per.select("key", "comp", "many", F.col("rep.fp").alias("rep")), "list-components")
-    lead = per.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("many", "comp", "rep")).alias("top")).filter("comps > 1")
-    lead = written(lead.select("key", F.col("top.comp").alias("top"), F.col("top.rep").alias("v")), "list-leaders")
-    return per.join(lead, "key").filter("comp <> top").select(F.col("rep").alias("u"), "v")
-
-
-def _remaining_pairs(lists: DataFrame, comps: DataFrame) -> DataFrame:
-    """(u, v): all pairs of members of one list in different components, with u outside the list's largest component."""
-    tagged = lists.join(comps.select(F.col("u").alias("fp"), F.col("v").alias("comp")), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")).select("key", "fp", "n", "comp")
-    tagged = written(tagged, "list-members")
-    per = tagged.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("many"))
-    lead = written(per.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("many", "comp")).alias("top")).filter("comps > 1").select("key", F.col("top.comp").alias("top")), "list-leaders")
-    mixed = written(tagged.join(lead, "key"), "mixed-lists")
-    few = mixed.filter("comp <> top").select("key", F.col("fp").alias("u"), F.col("n").alias("n_u"), F.col("comp").alias("comp_u"))
-    all_ = mixed.select("key", F.col("fp").alias("v"), F.col("n").alias("n_v"), F.col("comp").alias("comp_v"), "top")
-    met = few.join(all_, "key").filter("comp_u <> comp_v AND (comp_v = top OR u < v)")
-    return met.filter(_sizes_may_link("n_u", "n_v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        one, two = (elements.filter(F.col("sides").bitwiseAND(F.lit(k)) > 0).select(F.col("fp").alias(x), F.col("elements").alias(f"set_{x}")) for k, x in ((1, "u"), (2, "v")))
+        out = written(pairs.join(one, "u").join(two, "v").select("u", "v", "set_u", "set_v").mapInArrow(check, "u long, v long"), "links")
+        discard(elements)
+        return out
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -259,20 +315,17 @@ def joined(docs: DataFrame) -> DataFrame:
     classes = spark.sparkContext.broadcast(frequency_classes(profiles).tobytes())
     posted = docs.mapInArrow(_postings(classes, boundary), "kind int, key long, fp long, n int")
     lists = written(posted.repartition("kind", "key").sortWithinPartitions("kind", "key", "fp").mapInArrow(_shared_lists, "kind int, key long, fp long, n int, first long"), "lists", "kind")
-    proven = lists.filter("kind = 0 AND fp <> first").select(F.col("fp").alias("u"), F.col("first").alias("v"))
-    lists = lists.filter("kind = 1").select("key", "fp", "n", "first")
-
-    verifier = _Verifier(docs, profiles)
-    ties = lists.filter("fp <> first").select(F.col("fp").alias("u"), F.col("first").alias("v")).distinct()
-    comps = None
-    for round_ in range(1, STAR_ROUNDS + 1):
-        near = verifier.near(ties)
-        best = written(near.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", F.col("best.v").alias("v")), "ties")
-        found = verifier.links(best).unionByName(proven if comps is None else comps)
-        comps = components(found)
-        ties = _representative_pairs(lists, comps, round_).distinct()
-    rest = written(verifier.near(_remaining_pairs(lists, comps).distinct()).select("u", "v"), "rest")
-    comps = components(verifier.links(rest).unionByName(comps))
+    # of two sizes: whoever shares a subset key with a set of the other size links with it
+    two = lists.filter("kind = 2")
+    both = written(two.groupBy("key").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).filter("lo < hi").select("key"), "met-subsets")
+    proven = lists.filter("kind = 0").unionByName(two.join(both, "key", "left_semi").select(*lists.columns)).filter("fp <> first").select(F.col("fp").alias("u"), F.col("first").alias("v"))
+    lists = lists.filter("kind = 1").select("key", "fp", "n")
+
+    verifier, comps = _Verifier(docs, profiles), None
+    for _ in range(NAMING_ROUNDS):
+        found = verifier.links(verifier.plausible(lists, comps, False))
+        comps = components(found.unionByName(proven if comps is None else comps))
+    comps = components(verifier.links(verifier.plausible(lists, comps, True)).unionByName(comps))
 
     rows = profiles.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("fp"))
     placed = written(rows.join(comps.select(F.col("u").alias("fp"), "v"), "fp", "left").select("doc_id", "n_shingles", F.coalesce("v", "fp").alias("comp")), "placed")

@@ -12,7 +12,7 @@ WORDS = 5
 LINK_NUM, LINK_DEN = 4, 5
 #: Bytes of text that are hashed at a time.
 BLOCK = 1 << 20
-SKETCH_BITS = 2048
+SKETCH_BITS = 1024
 #: Frequency classes are kept by the upper bits of a shingle's hash.
 CLASS_BITS = 22
 
@@ -88,12 +88,12 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """For each of SKETCH_BITS classes of hashes whether the set holds an odd number, as 64-bit words.
+    """For each of SKETCH_BITS classes of hashes whether the set holds an odd number, as bytes.
 
     Sketches of two sets differ in at most as many bits as the sets differ in elements.
     """
     odd = np.bincount(((s >> U(16)) % U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return np.packbits(odd.astype(np.uint8))
 
 
 def least_overlap(a: int, b: int) -> int:
@@ -125,14 +125,16 @@ def prefix(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return s[np.argpartition(order, p - 1)[:p]] if p < len(s) else s
 
 
-def subset_keys(s: np.ndarray, boundary: int) -> list[int]:
-    """Signed 64-bit keys of the fixed-size subsets by which a small set meets partners up to the boundary.
+def subset_keys(s: np.ndarray, boundary: int) -> tuple[list[int], list[int]]:
+    """Signed 64-bit keys of the fixed-size subsets by which a small set meets partners up to the boundary: of its own
+    size, and of other sizes.
 
-    A partner size fixes how many elements must be shared; two sets of sizes a and b link exactly if they have
-    a subset of that many elements in common, so the key holds the sizes and the subset.
+    A partner's size fixes how many elements must be shared, and the key holds both sizes and the subset. Two sets
+    of one size link exactly if they share a key of the first kind; two of different sizes, exactly if they share one
+    of the second.
     """
-    out, n = [], len(s)
-    elements = [int(x) for x in s]
+    out: tuple[list[int], list[int]] = [], []
+    n, elements = len(s), [int(x) for x in s]
     for m in partner_sizes(n):
         if m <= boundary:
             tag = (min(n, m) * 1_000_003 + max(n, m)) * 0x9E3779B97F4A7C15
@@ -141,7 +143,7 @@ def subset_keys(s: np.ndarray, boundary: int) -> list[int]:
                 for x in c:
                     h = ((h ^ x) * 0xD6E8FEB86659FD93 + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
                     h ^= h >> 31
-                out.append(h - (1 << 64) if h >> 63 else h)
+                out[m != n].append(h - (1 << 64) if h >> 63 else h)
     return out
 
 
