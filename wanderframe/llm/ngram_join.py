@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import discard, shipped, table, written
+from .common import discard, released, shipped, table, written
 from .components import components
 
 #: Largest boundary that is considered, and what scanning a posting costs against making a subset key.
@@ -171,16 +171,44 @@ def _plausible(every: bool):
     """Compares the members of each (key, i, j), sorted, where blocks i and j of a list meet. Gives (u, v): all pairs of
     different components that sizes and sketches allow, or for each member just the least partner."""
 
-    def pairs(fp, n, comp, block, bits, i, j) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        for lo in range(0, len(left), 64):
-            a = left[lo : lo + 64]
-            ok = (comp[a, None] != comp[None, right]) & (S.LINK_DEN * np.minimum(n[a, None], n[None, right]) >= S.LINK_NUM * np.maximum(n[a, None], n[None, right]))
-            apart = np.bitwise_count(bits[a, None, :] ^ bits[None, right, :]).sum(2, dtype=np.int64)
-            # inter >= NUM / DEN * union leaves so many elements to differ in
-            x, y = np.nonzero(ok & ((S.LINK_NUM + S.LINK_DEN) * apart <= (S.LINK_DEN - S.LINK_NUM) * (n[a, None] + n[None, right])))
-            u, v = fp[a[x]], fp[right[y]]
-            yield np.maximum(u, v), np.minimum(u, v)
+    def reduced(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each pair once, or each u with its least v."""
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        fresh = np.append(True, (u[1:] != u[:-1]) | every & (v[1:] != v[:-1]))[: len(u)]
+        return u[fresh], v[fresh]
+
+    def pairs(fp, n, comp, block, sketches, i, j) -> tuple[np.ndarray, np.ndarray]:
+        """Of the members of a group. Sizes sort them into ranges of one sketch length; a range meets itself and the next."""
+        words = np.fromiter(map(len, sketches), np.int64, len(sketches)) // 8
+        us, vs = [], []
+        for w in np.unique(words):
+            mine = words == w
+            for other in (w, 2 * w):
+                left, right = np.flatnonzero(mine & (block == i)), np.flatnonzero((words == other) & (block == j))
+                if other != w and i != j:  # either block may hold the longer ones
+                    more = [(np.flatnonzero((words == other) & (block == i)), np.flatnonzero(mine & (block == j)))]
+                else:
+                    more = []
+                for a_all, b_all in [(left, right), *more]:
+                    if not len(a_all) or not len(b_all):
+                        continue
+                    rows = lambda at: S.folded(np.frombuffer(b"".join(sketches[k] for k in at), np.uint64).reshape(len(at), -1), w)
+                    theirs = rows(b_all)
+                    step = max(1, (1 << 20) // max(1, len(b_all) * w))
+                    for lo in range(0, len(a_all), step):
+                        a = a_all[lo : lo + step]
+                        na, nb = n[a, None].astype(np.int64), n[None, b_all].astype(np.int64)
+                        ok = (comp[a, None] != comp[None, b_all]) & (S.LINK_DEN * np.minimum(na, nb) >= S.LINK_NUM * np.maximum(na, nb))
+                        if ok.any():
+                            apart = np.bitwise_count(rows(a)[:, None, :] ^ theirs[None, :, :]).sum(2, dtype=np.int64)
+                            # inter >= NUM / DEN * union leaves so many elements to differ in
+                            x, y = np.nonzero(ok & ((S.LINK_NUM + S.LINK_DEN) * apart <= (S.LINK_DEN - S.LINK_NUM) * (na + nb)))
+                            us.append(np.maximum(fp[a[x]], fp[b_all[y]]))
+                            vs.append(np.minimum(fp[a[x]], fp[b_all[y]]))
+        if not us:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return reduced(np.concatenate(us), np.concatenate(vs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -188,20 +216,15 @@ def _plausible(every: bool):
 
         def flush(group: list) -> None:
             nonlocal size
-            columns = [np.concatenate(c) for c in zip(*group)]
-            (_, i, j), (fp, n, comp, block, bits) = held, columns
-            for u, v in pairs(fp, n, comp, block, bits, i, j):
-                if not every and len(u):
-                    order = np.lexsort((v, u))
-                    u, v = u[order], v[order]
-                    first = np.append(True, u[1:] != u[:-1])
-                    u, v = u[first], v[first]
+            fp, n, comp, block = (np.concatenate(c) for c in list(zip(*group))[:4])
+            u, v = pairs(fp, n, comp, block, [x for g in group for x in g[4]], held[1], held[2])
+            if len(u):
                 kept.append(np.stack([u, v]))
                 size += len(u)
 
         def out() -> pa.RecordBatch:
             nonlocal kept, size
-            u, v = np.unique(np.concatenate(kept, axis=1), axis=1)
+            u, v = reduced(*np.concatenate(kept, axis=1))
             kept, size = [], 0
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
@@ -210,14 +233,14 @@ def _plausible(every: bool):
             if not batch.num_rows:
                 continue
             key, i, j, fp, n, comp, block = (batch.column(k).to_numpy() for k in range(7))
-            bits = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(len(key), -1)
+            bits = batch.column(7).to_pylist()
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(key)]):
                 name = (key[lo], i[lo], j[lo])
                 if name != held and group:
                     flush(group)
                     group = []
-                    if size > 100_000:
+                    if size > 1_000_000:
                         yield out()
                 held = name
                 group.append([x[lo:hi] for x in (fp, n, comp, block, bits)])
@@ -253,7 +276,10 @@ class _Verifier:
         each = each.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "n", "comp", "block", "bits")
         dealt = each.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         pairs = dealt.mapInArrow(_plausible(every), "u long, v long")
-        return written(pairs.distinct() if every else pairs.groupBy("u").agg(F.min("v").alias("v")), "plausible")
+        out = written(pairs.distinct() if every else pairs.groupBy("u").agg(F.min("v").alias("v")), "plausible")
+        for done in [mixed] if comps is None else [mixed, tagged]:
+            discard(done)
+        return out
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs of a written table (u, v) whose sets link, as a written table."""
@@ -322,10 +348,14 @@ def joined(docs: DataFrame) -> DataFrame:
     lists = lists.filter("kind = 1").select("key", "fp", "n")
 
     verifier, comps = _Verifier(docs, profiles), None
-    for _ in range(NAMING_ROUNDS):
-        found = verifier.links(verifier.plausible(lists, comps, False))
+    for round_ in range(NAMING_ROUNDS + 1):
+        released(spark)
+        pairs = verifier.plausible(lists, comps, round_ == NAMING_ROUNDS)
+        released(spark)
+        found = verifier.links(pairs)
+        discard(pairs)
         comps = components(found.unionByName(proven if comps is None else comps))
-    comps = components(verifier.links(verifier.plausible(lists, comps, True)).unionByName(comps))
+    released(spark)
 
     rows = profiles.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("fp"))
     placed = written(rows.join(comps.select(F.col("u").alias("fp"), "v"), "fp", "left").select("doc_id", "n_shingles", F.coalesce("v", "fp").alias("comp")), "placed")

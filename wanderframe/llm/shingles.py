@@ -12,7 +12,8 @@ WORDS = 5
 LINK_NUM, LINK_DEN = 4, 5
 #: Bytes of text that are hashed at a time.
 BLOCK = 1 << 20
-SKETCH_BITS = 1024
+#: Least and most bits of a sketch; within, the power of two from twice the set's size on.
+LEAST_BITS, MOST_BITS = 512, 1 << 16
 #: Frequency classes are kept by the upper bits of a shingle's hash.
 CLASS_BITS = 22
 
@@ -88,12 +89,22 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """For each of SKETCH_BITS classes of hashes whether the set holds an odd number, as bytes.
+    """For each class of hashes (the lower bits) whether the set holds an odd number, as 64-bit words.
 
-    Sketches of two sets differ in at most as many bits as the sets differ in elements.
+    Sketches of two sets differ in at most as many bits as the sets differ in elements. A sketch is as long as its
+    set is large; halves of it, added bit by bit, make the shorter one.
     """
-    odd = np.bincount(((s >> U(16)) % U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * len(s)).bit_length()))
+    odd = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, one to a row, shortened to so many words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
 
 def least_overlap(a: int, b: int) -> int:
