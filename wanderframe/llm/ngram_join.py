@@ -36,6 +36,8 @@ COUNT_CHUNK, FREQUENT = 1 << 21, 8
 NAMING_ROUNDS = 2
 #: Members of a list that are compared at a time; longer lists are cut into blocks, and blocks are paired.
 BLOCK = 1024
+#: Lists of so many members are compared in plain Python.
+FEW = 8
 #: Bits of the table that tells which documents' sets are wanted: a multiple of their number, up to a bound.
 BITS_EACH, MOST_BITS = 16, 1 << 28
 
@@ -216,12 +218,34 @@ def _plausible(every: bool):
 
         def flush(group: list) -> None:
             nonlocal size
+            if len(group) == 1 and len(group[0][0]) <= FEW:
+                fp, n, comp, block = (x.tolist() for x in group[0][:4])
+                few(fp, n, comp, block, group[0][4], held[1] != held[2])
+                return
             fp, n, comp, block = (np.concatenate(c) for c in list(zip(*group))[:4])
             u, v = pairs(fp, n, comp, block, [x for g in group for x in g[4]], held[1], held[2])
             if len(u):
                 kept.append(np.stack([u, v]))
                 size += len(u)
 
+        def few(fp, n, comp, block, sketches, across: bool) -> None:
+            """The same for the few members that most lists have, without numpy's cost a call."""
+            nonlocal size
+            found = []
+            for y in range(1, len(fp)):
+                for x in range(y):
+                    total = n[x] + n[y]
+                    if comp[x] != comp[y] and not (across and block[x] == block[y]) and S.may_link(n[x], n[y]):
+                        a, b = sorted((sketches[x], sketches[y]), key=len)
+                        one, two = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+                        if len(a) < len(b):
+                            two = (two ^ two >> 8 * len(a)) & ((1 << 8 * len(a)) - 1)
+                        if (S.LINK_NUM + S.LINK_DEN) * (one ^ two).bit_count() <= (S.LINK_DEN - S.LINK_NUM) * total:
+                            found.append((max(fp[x], fp[y]), min(fp[x], fp[y])))
+            if found:
+                kept.append(np.array(found, np.int64).T)
+                size += len(found)
+
         def out() -> pa.RecordBatch:
             nonlocal kept, size
             u, v = reduced(*np.concatenate(kept, axis=1))
