@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.scratch import cut
 from .analytics import DECAY
 from .graph import Graph
+from .walker import CUT_EVERY
 
 FOLLOW = 0.85
 
@@ -56,17 +57,20 @@ def graphlet_ratio(graph: Graph) -> DataFrame:
     return closed.select(F.round(F.coalesce("t", F.lit(0.0)) * FOLLOW**3 / graph.n, 9).alias("expected"))
 
 
-def bfs(graph: Graph, source: int, most: int = 100) -> DataFrame:
-    """(vertex, distance) of what a path of at most so many edges reaches."""
+def bfs(graph: Graph, source: int, most: int | None = None) -> DataFrame:
+    """(vertex, distance) of all that the source reaches, or only of what a path of at most so many edges reaches."""
     frontier = cut(graph.spark.range(source, source + 1).select(F.col("id").alias("vertex"), F.lit(0).alias("distance")), "frontier")
-    seen = frontier
+    seen, d = frontier, 0
     edges = cut(graph.edges.distinct(), "distinct-edges")
-    for d in range(1, most + 1):
+    while most is None or d < most:
+        d += 1
         reached = frontier.join(edges, frontier["vertex"] == edges["src"]).select(F.col("dst").alias("vertex")).distinct()
         frontier = cut(reached.join(seen.select("vertex"), "vertex", "left_anti").withColumn("distance", F.lit(d)), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if d % CUT_EVERY == 0:
+            seen = cut(seen, "seen")
     return seen
 
 
