@@ -3,9 +3,9 @@
 from wanderframe import catalog
 
 
-def chain(spark, folder, last):
-    """lineitem of orders whose lines make the path 0, 1, ..., last, all returned."""
-    lines = [(0, k, k + 1, "R") for k in range(last + 1)]
+def paths(spark, folder, *orders):
+    """lineitem of one order for each path, all returned."""
+    lines = [(k, part, i + 1, "R") for k, order in enumerate(orders) for i, part in enumerate(order)]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string").write.parquet(f"{folder}/lineitem.parquet")
     return str(folder)
 
@@ -15,6 +15,9 @@ def rows(df):
 
 
 def test_reachability_bfs_reaches_the_end_of_a_path(spark, tmp_path):
-    last = 12
-    found = catalog.queries()["reachability_bfs"](spark, chain(spark, tmp_path, last))
-    assert rows(found) == [(k, k - 1) for k in range(1, last + 1)]
+    found = catalog.queries()["reachability_bfs"](spark, paths(spark, tmp_path, range(13)))
+    assert rows(found) == [(k, k - 1) for k in range(1, 13)]
+
+
+def test_reachability_mc_walks_further_than_16_positions(spark, tmp_path):
+    assert rows(catalog.queries()["reachability_mc"](spark, paths(spark, tmp_path, [1, *range(3, 20), 2]))) == [(True,)]

@@ -103,7 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "graphlet_exact": lambda s, d: exact.graphlet_ratio(G(s, d)),
         "simrank_mc": lambda s, d: analytics.simrank(G(s, d), 1, 2, 300, 7, SEED),
         "simrank_exact_small": lambda s, d: exact.simrank(G(s, d), 1, 2, 4),
-        "reachability_mc": lambda s, d: analytics.reachability(G(s, d), 1, 2, 200, 16, SEED),
+        "reachability_mc": lambda s, d: analytics.reachability(G(s, d), 1, 2, seed=SEED),
         "reachability_bfs": lambda s, d: exact.bfs(G(s, d, returns), 1).select("vertex", F.col("distance").cast("long").alias("distance")),
         "avgdegree_harmonic": lambda s, d: analytics.average_degree(G(s, d, returns), 500, 16, SEED),
         "domination_expected": lambda s, d: exact.expected_visits(G(s, d, returns), G(s, d, returns).vertices().select(F.col("id").alias("vertex"), F.lit(1.0).alias("e")), "jump", 4),
