@@ -101,7 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pagerank_error": lambda s, d: analytics.relative_error(analytics.pagerank(G(s, d), 1, 12, SEED), _accurate(G(s, d))).select(F.round("error", 9).alias("error")),
         "graphlet_ratio": lambda s, d: analytics.graphlet(G(s, d, returns), 20000, 4, SEED),
         "graphlet_exact": lambda s, d: exact.graphlet_ratio(G(s, d)),
-        "simrank_mc": lambda s, d: analytics.simrank(G(s, d), 1, 2, 300, 7, SEED),
+        "simrank_mc": lambda s, d: analytics.simrank(G(s, d), 1, 2, seed=SEED),
         "simrank_exact_small": lambda s, d: exact.simrank(G(s, d), 1, 2, 4),
         "reachability_mc": lambda s, d: analytics.reachability(G(s, d), 1, 2, seed=SEED),
         "reachability_bfs": lambda s, d: exact.bfs(G(s, d, returns), 1).select("vertex", F.col("distance").cast("long").alias("distance")),
