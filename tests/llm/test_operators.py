@@ -263,7 +263,7 @@ def near_copies(seed, n=120):
 def test_join_links_what_brute_force_links(spark, monkeypatch, boundary):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
     if boundary is not None:
-        monkeypatch.setattr(ngram_join, "boundary_by_cost", lambda _: boundary)
+        monkeypatch.setattr(ngram_join, "boundary_by_cost", lambda *_: boundary)
     docs = near_copies(boundary or 1) + HARD
     assert rows(ngram_join.joined(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))) == python_components(docs)
 
@@ -289,32 +289,70 @@ def test_subset_keys_meet_exactly_where_sets_link():
             assert bool(keys[a][other] & keys[b][other]) == shingles.links(sets[a], sets[b])
 
 
-def test_sketches_and_prefixes_lose_nothing():
+@pytest.mark.parametrize("share", [0.05, 0.115])
+def test_join_of_a_family_around_the_threshold(spark, monkeypatch, share):
+    """Copies of one text with random edits, of which many pairs lie just beside the threshold; lists of many blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 64)
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    docs = [(i, " ".join(w if rnd.random() > share / 5 * rnd.choice([0.5, 1, 1.5]) else f"x{rnd.randrange(10 ** 6)}" for w in base)) for i in range(400)]
+    docs += [(1000 + i, f"{' '.join(base)} tail {i}") for i in range(200)]
+    assert rows(ngram_join.joined(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))) == python_components(docs)
+
+
+def test_join_where_different_sets_share_a_fingerprint(spark, monkeypatch):
+    """Which is seen and mended: here every set has its size for a first fingerprint."""
+    real = shingles.fingerprints
+    monkeypatch.setattr(ngram_join.S, "fingerprints", lambda s: (len(s), real(s)[1]))
+    import pyarrow as pa
+
+    texts = ["a b c d e f g h", "q r s t u v w x", "a b c d e f g h", "one two"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    profiles = [r for b in ngram_join._profiles(iter([batch])) for r in b.to_pylist() if r["kind"] == 0]
+    assert [r["c"] for r in profiles] == [4, 4, 4, 1] and profiles[0]["d"] == profiles[2]["d"] != profiles[1]["d"]
+    names = [ngram_join._named(shingles.shingle_set(t), frozenset([4])) for t in texts]
+    assert names == [profiles[0]["d"], profiles[1]["d"], profiles[0]["d"], 1]
+
+
+def test_prefixes_hold_the_first_common_element_of_sets_that_link():
     rnd = np.random.default_rng(3)
-    classes = rnd.integers(0, 16, 1 << shingles.CLASS_BITS).astype(np.uint8)
-    for _ in range(300):
-        a = np.unique(rnd.integers(0, 1 << 63, rnd.integers(1, 900)).astype(np.uint64))
+    classes = rnd.integers(0, shingles.MOST_CLASSES, 1 << shingles.CLASS_BITS).astype(np.uint8)
+    linked = 0
+    for _ in range(400):
+        a = np.unique(rnd.integers(0, 1 << 63, rnd.integers(1, 900)).astype(np.uint64) * np.uint64(2))
         b = np.unique(np.concatenate([a[rnd.random(len(a)) > 0.08], rnd.integers(0, 1 << 63, rnd.integers(0, 20)).astype(np.uint64)]))
-        one, two = (shingles.sketch(x)[None, :] for x in (a, b))
-        short = min(one.shape[1], two.shape[1])
-        apart = int(np.bitwise_count(shingles.folded(one, short) ^ shingles.folded(two, short)).sum())
-        assert apart <= len(np.setxor1d(a, b))
         if len(b) and shingles.links(a, b):
-            assert 9 * apart <= len(a) + len(b) and len(np.intersect1d(shingles.prefix(a, classes), shingles.prefix(b, classes)))
+            linked += 1
+            small, great = sorted((a, b), key=len)
+            small, great = shingles.prefix(small, classes)[: shingles.short_length(len(small))], shingles.prefix(great, classes)
+            common = np.intersect1d(small, great)
+            whole = [np.sort((classes[s >> np.uint64(64 - shingles.CLASS_BITS)].astype(np.uint64) << np.uint64(59)) | (s >> np.uint64(5))).view(np.int64) for s in (a, b)]
+            assert len(common) and common[0] == np.intersect1d(*whole)[0]
+    assert linked > 100
 
 
 def test_shared_lists_across_batches():
     import pyarrow as pa
 
     rnd = random.Random(6)
-    data = sorted((1, rnd.randrange(40), rnd.randrange(12)) for _ in range(200))
-    want = [(k, fp) for k in range(40) for fps in [sorted({f for _, kk, f in data if kk == k})] if len(fps) > 1 for fp in fps]
-    for size in (1, 2, 3, 7, 200):
-        batches = (pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part]), pa.array([x[2] for x in part]), pa.array([5] * len(part), pa.int32())], ["kind", "key", "fp", "n"])
+    data = sorted((rnd.choice([0, 1, 1]), rnd.randrange(25), 0, *rnd.choice([(20 + 2 * f, 100 + f) for f in range(15)])) for _ in range(260))
+    data = [(kind, key, two, fp, n, hash((kind, key, fp)) % (n // 3)) for kind, key, two, n, fp in data]
+    lists = {}
+    for kind, key, _, fp, n, pos in data:
+        lists.setdefault((kind, key), {})[fp] = (n, pos)
+    want = []
+    for (kind, key), members in sorted(lists.items()):
+        order = sorted(members, key=lambda f: (members[f][0], f))
+        for i, f in enumerate(order):
+            n, pos = members[f]
+            fits = lambda a, b: members[a][1] < shingles.short_length(members[a][0]) and 5 * members[a][0] >= 4 * members[b][0]
+            if len(order) > 1 and (kind == 0 or any(fits(a, f) for a in order[:i]) or any(fits(f, b) for b in order[i + 1 :])):
+                want.append((kind, key, f, order[0]))
+    for size in (1, 2, 3, 7, 300):
+        batches = (pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["kind", "key", "key2", "fp", "n", "pos"])
                    for part in (data[i : i + size] for i in range(0, len(data), size)))
         got = [r for b in ngram_join._shared_lists(batches) for r in b.to_pylist()]
-        assert [(r["key"], r["fp"]) for r in got] == want
-        assert all(r["first"] == min(f for k, f in want if k == r["key"]) for r in got)
+        assert [(r["kind"], r["key"], r["fp"], r["first"]) for r in got] == want
 
 
 def test_components(spark):

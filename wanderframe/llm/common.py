@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import sys
 import tempfile
@@ -10,9 +12,12 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most bytes of an Arrow batch that Python gets, so that long texts come a few at a time. Set where the session says nothing.
+BATCH_BYTES = "8m"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
@@ -20,8 +25,16 @@ _local_dirs: list[tempfile.TemporaryDirectory] = []  # removed when the driver e
 _scratch: list[str] = []
 
 
+def _bounded(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(name) is None and not getattr(spark, "_bounded_batches", False):
+        spark.conf.set(name, BATCH_BYTES)
+        spark._bounded_batches = True
+
+
 def shipped(spark: SparkSession) -> None:
     """Sends this package to the executors, once for a context: they need not have it installed."""
+    _bounded(spark)
     root, context = Path(__file__).resolve().parent.parent, spark.sparkContext
     if getattr(context, "_shipped_package", False) or not root.is_dir():
         return
@@ -79,11 +92,29 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished jobs now, not at its next periodic collection: it does so once
-    the driver has collected the plans that stood for them."""
+def trim() -> None:
+    """Gives memory that this process no longer uses back to the system."""
     gc.collect()
-    spark._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+
+def tidied(run: Callable) -> Callable:
+    """A function for mapInArrow, as it is, that trims at its end: Python workers are kept for other tasks, and what one
+    operator's tasks have left in them would count against the next one's."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -1,4 +1,4 @@
-"""Documents as sets of word shingles, in numpy: 64-bit hashes, fingerprints, parity sketches, prefixes, subsets."""
+"""Documents as sets of word shingles, in numpy: 64-bit hashes, fingerprints, ordered prefixes, fixed-size subsets."""
 
 from __future__ import annotations
 
@@ -12,10 +12,8 @@ WORDS = 5
 LINK_NUM, LINK_DEN = 4, 5
 #: Bytes of text that are hashed at a time.
 BLOCK = 1 << 20
-#: Least and most bits of a sketch; within, the power of two from twice the set's size on.
-LEAST_BITS, MOST_BITS = 512, 1 << 16
-#: Frequency classes are kept by the upper bits of a shingle's hash.
-CLASS_BITS = 22
+#: Frequency classes are kept by the upper bits of a shingle's hash, and are below MOST_CLASSES.
+CLASS_BITS, MOST_CLASSES = 22, 16
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -82,29 +80,11 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(_mixed(out + U(k)))
 
 
-def fingerprint(s: np.ndarray) -> int:
-    """A signed 64-bit hash that equal sets share."""
+def fingerprints(s: np.ndarray) -> tuple[int, int]:
+    """Two independent signed 64-bit hashes that equal sets share."""
     ranks = np.arange(1, len(s) + 1, dtype=np.uint64)
-    return int(_mixed(np.array([(_mixed(s + ranks * _STEP)).sum(dtype=np.uint64) + U(len(s))], np.uint64)).view(np.int64)[0])
-
-
-def sketch(s: np.ndarray) -> np.ndarray:
-    """For each class of hashes (the lower bits) whether the set holds an odd number, as 64-bit words.
-
-    Sketches of two sets differ in at most as many bits as the sets differ in elements. A sketch is as long as its
-    set is large; halves of it, added bit by bit, make the shorter one.
-    """
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * len(s)).bit_length()))
-    odd = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
-
-
-def folded(sketches: np.ndarray, words: int) -> np.ndarray:
-    """Sketches, one to a row, shortened to so many words."""
-    while sketches.shape[1] > words:
-        half = sketches.shape[1] // 2
-        sketches = sketches[:, :half] ^ sketches[:, half:]
-    return sketches
+    sums = [_mixed((s ^ U(salt)) + ranks * _STEP).sum(dtype=np.uint64) + U(len(s)) for salt in (0, 0x5851F42D4C957F2D)]
+    return tuple(int(x) for x in _mixed(np.array(sums, np.uint64)).view(np.int64))
 
 
 def least_overlap(a: int, b: int) -> int:
@@ -129,32 +109,41 @@ def subset_count(n: int) -> int:
     return sum(comb(n, least_overlap(n, m)) for m in partner_sizes(n))
 
 
+def short_length(n):
+    """So many, first in that order, of the lesser set of a pair hold the first common element; the greater set's is
+    among its first prefix_length. n: a size or an array of sizes."""
+    return n - -(-2 * LINK_NUM * n // (LINK_NUM + LINK_DEN)) + 1
+
+
 def prefix(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The rarest elements: by frequency class, then by hash."""
+    """The first prefix_length elements in the order that all sets share, rarest first: by frequency class, then by
+    hash. As ascending non-negative 64-bit keys."""
     p = prefix_length(len(s))
-    order = (classes[s >> U(64 - CLASS_BITS)].astype(np.uint64) << U(60)) | (s >> U(4))
-    return s[np.argpartition(order, p - 1)[:p]] if p < len(s) else s
+    keys = ((classes[s >> U(64 - CLASS_BITS)].astype(np.uint64) << U(59)) | (s >> U(5))).view(np.int64)
+    return np.sort(np.partition(keys, p - 1)[:p] if p < len(s) else keys)
 
 
-def subset_keys(s: np.ndarray, boundary: int) -> tuple[list[int], list[int]]:
-    """Signed 64-bit keys of the fixed-size subsets by which a small set meets partners up to the boundary: of its own
-    size, and of other sizes.
+def subset_keys(s: np.ndarray, boundary: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Keys of 128 bits, as two signed longs, of the fixed-size subsets by which a small set meets partners up to the
+    boundary: of its own size, and of other sizes.
 
     A partner's size fixes how many elements must be shared, and the key holds both sizes and the subset. Two sets
     of one size link exactly if they share a key of the first kind; two of different sizes, exactly if they share one
     of the second.
     """
-    out: tuple[list[int], list[int]] = [], []
-    n, elements = len(s), [int(x) for x in s]
+    out: tuple[list[tuple[int, int]], list[tuple[int, int]]] = [], []
+    n, elements, mask = len(s), [int(x) for x in s], 0xFFFFFFFFFFFFFFFF
     for m in partner_sizes(n):
         if m <= boundary:
             tag = (min(n, m) * 1_000_003 + max(n, m)) * 0x9E3779B97F4A7C15
             for c in combinations(elements, least_overlap(n, m)):
-                h = tag
+                h, g = tag, tag ^ 0x2545F4914F6CDD1D
                 for x in c:
-                    h = ((h ^ x) * 0xD6E8FEB86659FD93 + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+                    h = ((h ^ x) * 0xD6E8FEB86659FD93 + 0x9E3779B97F4A7C15) & mask
                     h ^= h >> 31
-                out[m != n].append(h - (1 << 64) if h >> 63 else h)
+                    g = ((g + x) * 0xBF58476D1CE4E5B9 ^ 0x94D049BB133111EB) & mask
+                    g ^= g >> 29
+                out[m != n].append(tuple(v - (1 << 64) if v >> 63 else v for v in (h, g)))
     return out
 
 
