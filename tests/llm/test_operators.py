@@ -324,8 +324,11 @@ def test_prefixes_hold_the_first_common_element_of_sets_that_link():
         if len(b) and shingles.links(a, b):
             linked += 1
             small, great = sorted((a, b), key=len)
-            small, great = shingles.prefix(small, classes)[: shingles.short_length(len(small))], shingles.prefix(great, classes)
+            m, n = len(small), len(great)
+            small, great = shingles.prefix(small, classes)[: shingles.short_length(m) + shingles.spare(m)], shingles.prefix(great, classes)
             common = np.intersect1d(small, great)
+            assert len(common) >= 1 + shingles.spare(m) >= shingles.least_lists(n)
+            assert common[0] in small[: shingles.short_length(m)] and common[0] in great[: shingles.prefix_length(n)]
             whole = [np.sort((classes[s >> np.uint64(64 - shingles.CLASS_BITS)].astype(np.uint64) << np.uint64(59)) | (s >> np.uint64(5))).view(np.int64) for s in (a, b)]
             assert len(common) and common[0] == np.intersect1d(*whole)[0]
     assert linked > 100
@@ -345,7 +348,7 @@ def test_shared_lists_across_batches():
         order = sorted(members, key=lambda f: (members[f][0], f))
         for i, f in enumerate(order):
             n, pos = members[f]
-            fits = lambda a, b: members[a][1] < shingles.short_length(members[a][0]) and 5 * members[a][0] >= 4 * members[b][0]
+            fits = lambda a, b: members[a][1] < shingles.short_length(members[a][0]) + shingles.spare(members[a][0]) and 5 * members[a][0] >= 4 * members[b][0]
             if len(order) > 1 and (kind == 0 or any(fits(a, f) for a in order[:i]) or any(fits(f, b) for b in order[i + 1 :])):
                 want.append((kind, key, f, order[0]))
     for size in (1, 2, 3, 7, 300):

@@ -7,8 +7,10 @@ between small and large is where the subsets, by a cost model over the counted s
 frequencies of their elements, begin to cost more than the lists.
 
 The first common element, in the order that all sets share, of two sets that link lies among the first of both
-(shingles.short_length, shingles.prefix_length), so a pair need only be met in the list of that element. A member
-stays in a list only if a partner of a fitting size and place is there too; of lists with the same members one stays.
+(shingles.short_length, shingles.prefix_length), so a pair need only be met in the list of that element. Sets
+post a few elements more (shingles.spare), so that sets that link share several lists. A member stays in a list only if
+a partner of a fitting size and place is there too, a set stays only if it has so many lists, and of lists with the
+same members one stays: sets that share but a phrase or two have gone before any whole set is fetched.
 
 Scanning is done twice. First each set meets others in one list, its first, in blocks of bounded size: members and
 work grow in proportion, and families of copies of copies fall into components. Then every list that still holds
@@ -45,7 +47,9 @@ BLOCK, BLOCK_ELEMENTS = 1024, 1 << 20
 DEALS = 3
 #: Bits of the table that tells which documents' sets are wanted: a multiple of their number, up to a bound. Beyond
 #: it more sets are fetched than wanted, at most all of them, and filtered by a join.
-BITS_EACH, MOST_BITS = 16, 1 << 28
+BITS_EACH, MOST_BITS, HASHES = 16, 1 << 28, 3
+#: Largest table of list members, at 100 bytes a row, that is broadcast to the sets.
+BROADCAST_BYTES = 32 << 20
 
 _PROFILE = "kind int, a long, b long, c long, d long, small binary"
 _POSTING = "kind int, key long, key2 long, fp long, n int, pos int"
@@ -184,16 +188,19 @@ _SHARED = "kind int, key long, key2 long, fp long, n int, pos int, first long"
 
 def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of postings sorted by kind, key, key2, n, fp: each row once, with its list's first, if it has company: in subset
-    lists any other member, in lists of kind 1 one before it, posted within its short_length and of a fitting size,
-    or, if it is posted so itself, one of a fitting size behind it."""
+    lists any other member, in lists of kind 1 one before it, posted within its short_length and spare and of a fitting
+    size, or, if it is posted so itself, one of a fitting size behind it."""
     names = ["kind", "key", "key2", "fp", "n", "pos"]
     carry = None  # a list's last row, its first fingerprint, whether that row has company before it, the list's last short size before the row (or -1)
 
+    def posted_short(n, pos):
+        return pos < S.short_length(n) + S.spare(n)
+
     def settled(rows: list[np.ndarray], first, before, last: bool) -> Iterator[pa.RecordBatch]:
         """rows, in which the last one waits for its follower unless it is the last of all."""
         kind, key, key2, fp, n, pos = rows
         same = (key[1:] == key[:-1]) & (key2[1:] == key2[:-1]) & (kind[1:] == kind[:-1])
-        behind = np.append(same & ((kind[:-1] != 1) | ((pos[:-1] < S.short_length(n[:-1].astype(np.int64))) & (S.LINK_DEN * n[:-1].astype(np.int64) >= S.LINK_NUM * n[1:].astype(np.int64)))), False)
+        behind = np.append(same & ((kind[:-1] != 1) | (posted_short(n[:-1].astype(np.int64), pos[:-1]) & (S.LINK_DEN * n[:-1].astype(np.int64) >= S.LINK_NUM * n[1:].astype(np.int64)))), False)
         upto = len(key) if last else len(key) - 1
         good = (before | behind)[:upto]
         if good.any():
@@ -215,7 +222,7 @@ def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         start = np.maximum.accumulate(np.where(begins, at, 0))
         first = fp[start].copy()
         size = n.astype(np.int64)
-        short = np.where(pos < S.short_length(size), at, -1)
+        short = np.where(posted_short(size, pos), at, -1)
         earlier = np.append(-1, np.maximum.accumulate(short)[:-1])  # the last short row before, of any list
         shorts = np.where(earlier >= start, size[np.maximum(earlier, 0)], -1)
         company = at > start
@@ -348,12 +355,14 @@ def _spanning_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _wanted_sets(docs: DataFrame, rows: DataFrame, fps: DataFrame, classes, clashing: frozenset[int]) -> DataFrame:
     """(fp, first, elements) for each fingerprint of a written table: the ordered prefix and the sorted elements, as
-    64-bit numbers. rows: the documents' (doc_id, fp). One pass over the texts."""
+    64-bit numbers. rows: the documents' (doc_id, fp). One pass over the texts and no shuffle of sets: the documents
+    that are wanted, one for a fingerprint, are told by a Bloom filter of their ids. The few more sets that it lets pass,
+    and those of rows that share an id, are in the table too and meet nothing in joins on fp."""
     spark = docs.sparkSession
     need = written(rows.join(fps, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "holders")
     bits = 1 << max(12, int(min(MOST_BITS, BITS_EACH * max(1, need.count()))).bit_length())
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    words = need.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("mask")).toArrow()
+    spots = [F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(bits)) for k in range(HASHES)]
+    words = need.select(F.explode(F.array(*spots)).alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("mask")).toArrow()
     filled = np.zeros(bits // 64, np.int64)
     filled[words["word"].to_numpy()] = words["mask"].to_numpy()
     told = spark.sparkContext.broadcast(filled.tobytes())
@@ -365,9 +374,11 @@ def _wanted_sets(docs: DataFrame, rows: DataFrame, fps: DataFrame, classes, clas
         rows, size = [], 0
         out = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["fp", "first", "elements"])
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            hit = np.flatnonzero((mask[at >> 6] >> (at & 63)) & 1)
-            for text in (batch.column(1)[int(i)].as_py() for i in hit):
+            hit = np.ones(batch.num_rows, bool)
+            for k in range(HASHES):
+                at = batch.column(1 + k).to_numpy()
+                hit &= ((mask[at >> 6] >> (at & 63)) & 1).astype(bool)
+            for text in (batch.column(0)[int(i)].as_py() for i in np.flatnonzero(hit)):
                 s = S.shingle_set(text)
                 if not len(s) or (fp := _named(s, clashing)) in seen:
                     continue
@@ -381,12 +392,18 @@ def _wanted_sets(docs: DataFrame, rows: DataFrame, fps: DataFrame, classes, clas
         if rows:
             yield out()
 
-    found = docs.select("doc_id", "text", spot.alias("spot")).mapInArrow(run, "fp long, first binary, elements binary")
-    sets = written(found.join(fps, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    sets = written(docs.select("text", *[x.alias(f"spot{k}") for k, x in enumerate(spots)]).mapInArrow(run, "fp long, first binary, elements binary"), "sets")
     discard(need)
     return sets
 
 
+def _with_sets(rows: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """A written table joined with a column of sets on fp: it is broadcast, so that sets do not move, if its counted rows
+    are few."""
+    few = rows.count() * 100 <= BROADCAST_BYTES
+    return (F.broadcast(rows) if few else rows).join(sets.select("fp", column), "fp")
+
+
 def _blocks_for(many: Column, weight: Column) -> Column:
     return F.greatest(F.ceil(many / BLOCK), F.ceil(weight / BLOCK_ELEMENTS), F.lit(1)).cast("int")
 
@@ -409,8 +426,8 @@ def _links_in_blocks(homes: DataFrame, sets: DataFrame, comps: DataFrame | None,
         sizes = written(sizes.filter("blocks > 1"), "long-lists")
         if sizes.isEmpty():
             return None
-    met = rows.join(sizes, "key").select("key", F.pmod(F.xxhash64(F.lit(deal), "fp"), F.col("blocks")).cast("int").alias("b"), F.lit(deal).alias("c"), "fp", "comp")
-    groups = met.join(sets.select("fp", "elements"), "fp").select("key", "b", "c", "fp", "comp", F.lit(True).alias("is_left"), F.lit(True).alias("is_right"), "elements")
+    met = written(rows.join(sizes, "key").select("key", F.pmod(F.xxhash64(F.lit(deal), "fp"), F.col("blocks")).cast("int").alias("b"), F.lit(deal).alias("c"), "fp", "comp"), "met")
+    groups = _with_sets(met, sets, "elements").select("key", "b", "c", "fp", "comp", F.lit(True).alias("is_left"), F.lit(True).alias("is_right"), "elements")
     return written(_dealt(groups, _spanning_links, "u long, v long"), "links")
 
 
@@ -429,11 +446,12 @@ def _links_across(lists: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFr
     at = F.array_distinct(F.concat(as_right, F.coalesce(as_left, F.array().cast("array<struct<b:int,c:int>>"))))
     spread = placed.select("key", "fp", "comp", "n", "pos", "own_b", "own_c", F.explode(at).alias("at")).select(
         "key", "at.b", "at.c", "fp", "comp", F.coalesce(F.col("own_c") == F.col("at.c"), F.lit(False)).alias("is_left"), (F.col("own_b") == F.col("at.b")).alias("is_right"), "n", "pos")
-    begun = spread.join(sets.select("fp", "first"), "fp").select("key", "b", "c", "fp", "comp", "is_left", "is_right", "n", "pos", F.expr("substring(first, 1, 8 * pos)").alias("first"))
+    spread = written(spread, "spread-members")
+    begun = _with_sets(spread, sets, "first").select("key", "b", "c", "fp", "comp", "is_left", "is_right", "n", "pos", F.expr("substring(first, 1, 8 * pos)").alias("first"))
     members = written(_dealt(begun, _candidates, _CANDIDATE), "candidates")
-    groups = members.join(sets.select("fp", "elements"), "fp").select("key", "b", "c", "fp", "comp", "is_left", "is_right", "elements")
+    groups = _with_sets(members, sets, "elements").select("key", "b", "c", "fp", "comp", "is_left", "is_right", "elements")
     links = written(_dealt(groups, _spanning_links, "u long, v long"), "links")
-    for done in (rows, mixed, members):
+    for done in (rows, mixed, spread, members):
         discard(done)
     return links
 
@@ -469,7 +487,11 @@ def joined(docs: DataFrame) -> DataFrame:
     edges = proven.select(F.col("fp").alias("u"), F.col("first").alias("v"))
 
     # of lists with the same members that of the least key stays: it holds the first common element of any two
+    spare = lambda n: f"least({S.MOST_SPARE}, ({n}) div {S.SPARE_EACH})"
+    least_partner = f"({S.LINK_NUM} * n + {S.LINK_DEN - 1}) div {S.LINK_DEN}"
     large = shared.filter("kind = 1").select("key", "fp", "n", "pos")
+    enough = large.groupBy("fp", "n").agg(F.count(F.lit(1)).alias("lists")).filter(f"lists >= 1 + {spare(least_partner)}").select("fp")
+    large = written(large.filter(f"pos < n - {least_partner} + 1").join(enough, "fp", "left_semi"), "large-lists")
     signed = large.groupBy("key").agg(F.bit_xor(F.xxhash64("fp")).alias("one"), F.bit_xor(F.xxhash64(F.lit(7), "fp")).alias("two"), F.count(F.lit(1)).alias("many"))
     lists = written(large.join(signed.groupBy("one", "two", "many").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "distinct-lists")
     fps = written(lists.select("fp").distinct(), "wanted")
@@ -483,7 +505,7 @@ def joined(docs: DataFrame) -> DataFrame:
             break
         comps = components(found.unionByName(edges if comps is None else comps))
     comps = components(_links_across(lists, sets, comps).unionByName(comps))
-    for done in (lists, fps, homes, sets, shared):
+    for done in (lists, fps, homes, sets, shared, large):
         discard(done)
 
     placed = written(own.join(comps.select(F.col("u").alias("fp"), "v"), "fp", "left").select("doc_id", "n_shingles", F.coalesce("v", "fp").alias("comp")), "placed")

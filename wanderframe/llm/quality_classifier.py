@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidied
 from .toxicity import fold
 
 #: Most labelled rows that a model is fitted on.
@@ -57,6 +57,7 @@ def statistics_of(text: str | None) -> list[float]:
 def statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, every statistic as double) for every row of docs(doc_id, text)."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([statistics_of(t) for t in batch.column(1).to_pylist()], np.float64).reshape(-1, len(STATISTICS))
@@ -187,6 +188,7 @@ def kept(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """docs, with all columns, that the ensemble predicts to be of quality. One pass; text and scores travel together."""
     at = docs.columns.index("text")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([statistics_of(t) for t in batch.column(at).to_pylist()], np.float64).reshape(-1, len(STATISTICS))

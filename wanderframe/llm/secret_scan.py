@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tidied
 
 #: Bytes of text that are indexed at a time (a longer text is a block of its own).
 BLOCK_BYTES = 4 << 20
@@ -220,6 +220,7 @@ def found_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> Dat
     """(doc_id, spans array<struct<kind, start, end>>) for every row of docs(doc_id, text); null texts are empty."""
     names = [r.kind for r in rules]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -235,6 +236,7 @@ def redacted(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFram
     """docs, with all columns and rows, with secrets in text replaced; a null text stays null."""
     at = docs.columns.index("text")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
         for batch in batches:
@@ -251,6 +253,7 @@ def digests(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame
     names = [r.kind for r in rules]
     base = len(BASE_RULES)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
         for batch in batches:

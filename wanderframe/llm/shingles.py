@@ -14,6 +14,8 @@ LINK_NUM, LINK_DEN = 4, 5
 BLOCK = 1 << 20
 #: Frequency classes are kept by the upper bits of a shingle's hash, and are below MOST_CLASSES.
 CLASS_BITS, MOST_CLASSES = 22, 16
+#: A set posts so many elements more at most than it must, by which sets that link share so many lists more.
+MOST_SPARE, SPARE_EACH = 7, 16
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -115,10 +117,21 @@ def short_length(n):
     return n - -(-2 * LINK_NUM * n // (LINK_NUM + LINK_DEN)) + 1
 
 
+def spare(n):
+    """How many elements more a set posts. Two sets that link, of sizes m <= n, share 1 + spare(m) lists: of the first
+    common elements that many are among the first short_length(m) + spare(m) and prefix_length(n) + spare(n)."""
+    return np.minimum(MOST_SPARE, n // SPARE_EACH)
+
+
+def least_lists(n):
+    """So many lists a set of this size shares with any set that it links with: 1 + spare of the least partner's size."""
+    return 1 + spare(-(-LINK_NUM * n // LINK_DEN))
+
+
 def prefix(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The first prefix_length elements in the order that all sets share, rarest first: by frequency class, then by
-    hash. As ascending non-negative 64-bit keys."""
-    p = prefix_length(len(s))
+    """The first prefix_length + spare elements in the order that all sets share, rarest first: by frequency class, then
+    by hash. As ascending non-negative 64-bit keys."""
+    p = min(len(s), prefix_length(len(s)) + int(spare(len(s))))
     keys = ((classes[s >> U(64 - CLASS_BITS)].astype(np.uint64) << U(59)) | (s >> U(5))).view(np.int64)
     return np.sort(np.partition(keys, p - 1)[:p] if p < len(s) else keys)
 

@@ -1,7 +1,7 @@
 """Byte-level BPE: token counts by heap and linked list, and exact encoding by prefix dynamic programming.
 
 Both split a text by the GPT-2 pattern and treat each piece on its own; what a piece gives is remembered in
-a bounded table in each Python worker. The vocabulary files are small public constants (about 50,000
+a bounded table while a task runs, and dropped with it. The vocabulary files are small public constants (about 50,000
 entries, under MAX_FILE_BYTES), read on the driver through their path parameter and sent with the tasks.
 """
 
@@ -20,11 +20,13 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tidied
 
 MAX_FILE_BYTES = 64 << 20
 #: Pieces that a worker remembers (about 0.2 KB each), and the longest worth remembering.
 MEMO_PIECES, MEMO_CHARS = 400_000, 64
+#: Pairs of tokens that a worker remembers (about 0.1 KB each).
+MEMO_PAIRS = 300_000
 TOKEN_LIMIT = 1024
 
 
@@ -119,18 +121,13 @@ class HeapCounter:
         return extra + sum(sum(map(lookup, self.findall(part))) for part in parts)
 
 
-_counters: dict[bytes, HeapCounter] = {}
-
-
 def token_counts(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, limit: int = TOKEN_LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs(doc_id, text); null texts count as empty."""
     data = docs.sparkSession.sparkContext.broadcast(file_bytes(path))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hashlib.sha256(data.value).digest()
-        if key not in _counters:
-            _counters[key] = HeapCounter(data.value, pattern)
-        counter = _counters[key]
+        counter = HeapCounter(data.value, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts = np.fromiter((counter.count(t) for t in texts), np.int64, len(texts))
@@ -157,7 +154,7 @@ class PrefixEncoder:
         self.longest = max(map(len, self.ranks))
         self.findall = regex.compile(pattern).findall
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         # endings[b]: the lengths that tokens ending in these two bytes have, longest first
         lengths: dict[bytes, set[int]] = {}
         for t in self.ranks:
@@ -180,7 +177,7 @@ class PrefixEncoder:
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both gives just these two. Undoes their merges from the latest on: at
         each border between a right end and a left end no merge may have come before that undoing."""
-        key = (left, right)
+        key = left << 32 | right
         if (known := self.pairs.get(key)) is not None:
             return known
         a, b, limit, ok = left, right, 1 << 60, True
@@ -197,7 +194,7 @@ class PrefixEncoder:
                 limit, a = a, sa[1]
             else:
                 limit, b = b + 1, sb[0]
-        if len(self.pairs) >= 1_000_000:
+        if len(self.pairs) >= MEMO_PAIRS:
             self.pairs.clear()
         self.pairs[key] = ok
         return ok
@@ -273,22 +270,13 @@ class EditableEncoding:
         return self.encoder.unwind(self.last)
 
 
-_encoders: dict[bytes, PrefixEncoder] = {}
-
-
-def encoder_for(data: bytes, pattern: str) -> PrefixEncoder:
-    key = hashlib.sha256(data).digest()
-    if key not in _encoders:
-        _encoders[key] = PrefixEncoder(data, pattern)
-    return _encoders[key]
-
-
 def encoded(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, ids, n_tokens) for every row of docs(doc_id, text); null texts are empty."""
     data = docs.sparkSession.sparkContext.broadcast(file_bytes(path))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(data.value, pattern)
+        encoder = PrefixEncoder(data.value, pattern)
         for batch in batches:
             ids = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -301,8 +289,9 @@ def encoding_digests(docs: DataFrame, path: str, pattern: str = public_tokenizer
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, and the ids decoded again."""
     data = docs.sparkSession.sparkContext.broadcast(file_bytes(path))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(data.value, pattern)
+        encoder = PrefixEncoder(data.value, pattern)
         for batch in batches:
             counts, ids_sha, back_sha = [], [], []
             for text in batch.column(1).to_pylist():

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidied, written
 
 #: Most rows that a model is fitted on, and most features.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 5000, 10000, 1000
@@ -98,6 +98,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> LinearModel:
     # a text that copies repeat counts once, else the words of one much copied text would look toxic
     sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text", "positive").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", "positive"), "toxicity-sample")
 
+    @tidied
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter(), Counter()
         for batch in batches:
@@ -121,6 +122,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> LinearModel:
     names = [r["feature"] for r in best]
     number = {f: i for i, f in enumerate(names)}
 
+    @tidied
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             have = [sorted(number[f] for f in features_of(t) if f in number) for t in batch.column(0).to_pylist()]
@@ -136,6 +138,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> LinearModel:
 def scored(docs: DataFrame, model: LinearModel) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text). Null and empty texts get the bias's score."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
