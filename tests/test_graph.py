@@ -11,7 +11,7 @@ from wanderframe.functions import packing, rng
 from wanderframe.operators import analytics, blocks, exact, kernels, seeds
 from wanderframe.operators import graph as graph_module
 from wanderframe.operators.graph import Graph
-from wanderframe.operators.walker import prob_cap, visit_counts, visits, walk
+from wanderframe.operators.walker import visit_counts, visits, walk
 from wanderframe.plans.metrics import Metrics
 from wanderframe.plans.options import options, read_arguments, read_config
 from wanderframe.sources import edgelist
@@ -99,6 +99,18 @@ def test_equal_results_for_any_partitioning(spark):
     assert rows(walk(g, start, kernels.jump, 5)) == rows(walk(g, start.repartition(7, "source"), kernels.jump, 5))
 
 
+@pytest.mark.parametrize("kernel", sorted(kernels.KERNELS))
+def test_joined_and_resident_walks_are_the_same(spark, kernel):
+    edges = [(i, (i * 7 + k) % 40) for i in range(38) for k in (1, 2, 2, 5)]
+    near, far, k = graph(spark, edges), graph(spark, edges), kernels.KERNELS[kernel]
+    far.small = False
+    start = seeds.source_range(spark, 30, 15, 4)  # some sources are no vertices
+    if k.visits(7) is not None:
+        assert rows(walk(near, start, k, 7, 3)) == rows(walk(far, start, k, 7, 3))
+    for by in (("vertex",), ("source", "vertex")):
+        assert rows(visit_counts(near, start, k, 7, 3, by)) == rows(visit_counts(far, start, k, 7, 3, by))
+
+
 @pytest.mark.parametrize("chunk", [2, 3])
 def test_hubs_walk_as_others(spark, chunk, monkeypatch):
     edges = [(0, k) for k in range(1, 12)] + [(k, 0) for k in range(1, 12)] + [(0, 5)]
@@ -108,15 +120,19 @@ def test_hubs_walk_as_others(spark, chunk, monkeypatch):
     monkeypatch.setattr(graph_module, "CHUNK", chunk)
     monkeypatch.setattr(walker, "CHUNK", chunk)
     hub = graph(spark, edges)
+    hub.small = False
     assert hub.has_hubs and rows(walk(hub, seeds.every_vertex(hub, 10), kernels.jump, 6)) == want
 
 
 def test_long_walks_count_like_short_ones(spark):
     g = graph(spark, [(i, (i + k) % 30) for i in range(29) for k in (1, 3)])
+    large = graph(spark, [(i, (i + k) % 30) for i in range(29) for k in (1, 3)])
+    large.small = False  # its steps shuffle
     for k in (kernels.jump, kernels.stop, kernels.simple):
         start = seeds.every_vertex(g, 2)
         short = visits(walk(g, start, k, 25)).groupBy("vertex").count()
         assert rows(visit_counts(g, start, k, 25)) == rows(short)
+        assert rows(visit_counts(large, start, k, 12)) == rows(visits(walk(g, start, k, 12)).groupBy("vertex").count())
 
 
 def test_cycle_closes(spark):
@@ -156,7 +172,9 @@ def test_samples_agree_with_expectation(spark, kernel):
 
 def test_reachability(spark):
     g = graph(spark, [(0, 1), (1, 2), (3, 0)])
-    assert analytics.reachability(g, 0, 2, 100, 20).first()[0] and not analytics.reachability(g, 0, 3, 100, 20).first()[0]
+    for small in (True, False):
+        g.small = small
+        assert analytics.reachability(g, 0, 2, 100, 20).first()[0] and not analytics.reachability(g, 0, 3, 100, 20).first()[0]
     assert rows(exact.bfs(g, 0)) == [(0, 0), (1, 1), (2, 2)]
 
 
@@ -173,9 +191,36 @@ def test_greedy_blocks_isolate_a_large_vertex(spark):
 
 def test_prob_walks_end(spark):
     g = graph(spark, [(0, 1), (1, 0)])
-    assert prob_cap(1) > 80
     seen = analytics.unbounded_ppr(g, 0, 1, 2000)
     assert abs(sum(r["cnt"] for r in seen.collect()) / 2000 - 1 / 0.15) < 0.6
+    with pytest.raises(ValueError, match="no limit"):
+        walk(g, seeds.single(spark, 0, 1), kernels.prob, 5)
+
+
+def test_saved_graphs_open_without_work(spark, tmp_path, monkeypatch):
+    edges = [(0, k) for k in range(1, 9)] + [(k, 0) for k in range(1, 9)]
+    made = graph(spark, edges, n=12)
+    g = made.saved(str(tmp_path / "g"))
+    assert (g.n, g.counted) == (12, (16, 8)) and rows(g.adjacency) == rows(made.adjacency)
+    assert rows(walk(g, seeds.every_vertex(g, 2), kernels.jump, 4)) == rows(walk(made, seeds.every_vertex(made, 2), kernels.jump, 4))
+    monkeypatch.setattr(graph_module, "CHUNK", 2)
+    with pytest.raises(ValueError, match="save the graph anew"):
+        Graph.opened(spark, str(tmp_path / "g"))
+
+
+def test_id_ranges_are_pushed_to_the_scan(spark):
+    g = graph(spark, [(i, (i + 1) % 500) for i in range(500)])
+    g.small = False
+    some = g.of_range(100, 120)
+    assert [r[0] for r in rows(some)] == list(range(100, 121))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(src,100)" in plan and "LessThanOrEqual(src,120)" in plan
+
+
+def test_blocks_of_positions(spark):
+    blocks_ = spark.createDataFrame([(0, 1), (2, 2), (3, 40)], "first long, last long")
+    at = spark.createDataFrame([(1, 0), (2, 2), (3, 39), (4, 17)], "walk_id long, current long")
+    assert rows(blocks.block_of(at, blocks_, 16)) == [(1, 0, 0), (2, 2, 2), (3, 39, 3), (4, 17, 3)]
 
 
 def test_utilisation_and_constant():

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import cut
 from . import kernels, seeds
 from .graph import Graph
-from .walker import prob_cap, visit_counts, visits, walk
+from .walker import CUT_EVERY, step, visit_counts, visits, walk
 
 DECAY = 0.8
 
@@ -21,7 +22,8 @@ def top_k(counts: DataFrame, k: int, value: str = "cnt", key: str = "vertex", by
 
 
 def approximate_top_k(visited: DataFrame, k: int, tracked: int = 10000) -> DataFrame:
-    """(vertex, cnt) of the heaviest vertices by a sketch that tracks so many."""
+    """(vertex, cnt) of the heaviest vertices by a sketch that tracks so many; exact counts if there are no more than
+    three quarters of that."""
     return visited.agg(F.expr(f"approx_top_k(vertex, {k}, {tracked})").alias("top")).select(F.explode("top").alias("x")).select(
         F.col("x.item").alias("vertex"), F.col("x.count").alias("cnt"))
 
@@ -47,10 +49,9 @@ def multi_source_ppr(graph: Graph, first: int = 0, sources: int = 1, walks: int
     return visit_counts(graph, seeds.source_range(graph.spark, first, sources, walks), kernels.stop, length, seed, ("source", "vertex"))
 
 
-def unbounded_ppr(graph: Graph, first: int = 0, sources: int = 1, walks: int = 1, seed: int = 42, cap: int | None = None) -> DataFrame:
-    """(source, vertex, cnt) by walks that only end by themselves; the cap leaves less than a millionth of a walk."""
-    cap = cap or prob_cap(sources * walks)
-    return visit_counts(graph, seeds.source_range(graph.spark, first, sources, walks), kernels.prob, cap, seed, ("source", "vertex"))
+def unbounded_ppr(graph: Graph, first: int = 0, sources: int = 1, walks: int = 1, seed: int = 42) -> DataFrame:
+    """(source, vertex, cnt) by walks that only end by themselves, followed until none is alive."""
+    return visit_counts(graph, seeds.source_range(graph.spark, first, sources, walks), kernels.prob, None, seed, ("source", "vertex"))
 
 
 def pagerank(graph: Graph, walks: int = 1, length: int = 20, seed: int = 42) -> DataFrame:
@@ -92,9 +93,18 @@ def simrank(graph: Graph, a: int = 1, b: int = 2, walks: int = 1000, length: int
 
 
 def reachability(graph: Graph, a: int = 1, b: int = 2, walks: int = 1000, length: int = 100, seed: int = 42) -> DataFrame:
-    """(reached): whether restarting walks from a visit b."""
-    counts = visit_counts(graph, seeds.single(graph.spark, a, walks), kernels.restart, length, seed)
-    return counts.agg(F.coalesce(F.bool_or(F.col("vertex") == b), F.lit(False)).alias("reached"))
+    """(reached): whether restarting walks from a visit b. Where steps are joins, walks go on only while none has seen b."""
+    if graph.small:
+        counts = visit_counts(graph, seeds.single(graph.spark, a, walks), kernels.restart, length, seed)
+        return counts.agg(F.coalesce(F.bool_or(F.col("vertex") == b), F.lit(False)).alias("reached"))
+    now, hops, done, reached = seeds.single(graph.spark, a, walks).withColumn("current", F.col("source")), kernels.restart.visits(length), 0, a == b
+    while done < hops - 1 and not reached:
+        part = now.withColumn("seen", F.lit(False))
+        for hop in range(done, min(done + CUT_EVERY, hops - 1)):
+            part = step(graph, part, kernels.restart, hop, seed).withColumn("seen", F.col("seen") | (F.col("current") == b))
+        part = cut(part, "walks")
+        reached, now, done = not part.filter("seen").isEmpty(), part.drop("seen"), done + CUT_EVERY
+    return graph.spark.range(1).select(F.lit(reached).alias("reached"))
 
 
 def average_degree(graph: Graph, walks: int = 1000, length: int = 1000, seed: int = 42) -> DataFrame:

@@ -74,10 +74,12 @@ def greedy_blocks(graph: Graph, edges_per_block: int) -> DataFrame:
     return ends.join(beyond, "next", "left").select(F.col("id").alias("first"), (F.col("next") - 1).alias("last"), (F.coalesce("end", F.lit(total)) - F.col("begin")).alias("edges"))
 
 
-def block_of(walks: DataFrame, blocks: DataFrame) -> DataFrame:
-    """walks with the block (number by first vertex) of their position; blocks are few and small, and are broadcast."""
-    numbered = blocks.select("first", "last", (F.row_number().over(Window.orderBy("first")) - 1).alias("block"))
-    return walks.join(F.broadcast(numbered), (F.col("current") >= F.col("first")) & (F.col("current") <= F.col("last"))).drop("first", "last")
+def block_of(walks: DataFrame, blocks: DataFrame, stride: int = STRIDE) -> DataFrame:
+    """walks with the block, by its first vertex, of their position. An equal join on strides of vertices; within a
+    stride there are no more blocks than vertices."""
+    met = blocks.select("first", "last", F.explode(F.sequence(F.expr(f"first div {stride}"), F.expr(f"last div {stride}"))).alias("stride"))
+    at = walks.withColumn("stride", F.expr(f"current div {stride}"))
+    return at.join(met, (at["stride"] == met["stride"]) & at["current"].between(met["first"], met["last"])).select(*[at[c] for c in walks.columns], F.col("first").alias("block"))
 
 
 def block_state(walks: DataFrame) -> DataFrame:
@@ -85,6 +87,13 @@ def block_state(walks: DataFrame) -> DataFrame:
     return walks.groupBy("block").agg(F.count(F.lit(1)).alias("walks"), F.min("hop").alias("min_hop"))
 
 
+def chosen_block(state: DataFrame, blocks: int, draw: int, prob: float = 0.2) -> DataFrame:
+    """(random_block, chosen): a block drawn from 0 .. blocks - 1, and what the mixed rule loads next: with a chance of
+    prob the block of the least hop, else that of most walks. draw: a number in [0, 2 ** 32)."""
+    rules = next_blocks(state)
+    return rules.select(F.lit(draw % blocks).cast("long").alias("random_block"), F.col("min_step" if draw < prob * 2**32 else "max_walks").alias("chosen"))
+
+
 def next_blocks(state: DataFrame) -> DataFrame:
     """(max_walks, min_step, max_weight): the block that each scheduling rule would load next, least number on ties."""
     least = -F.col("block")

@@ -15,7 +15,7 @@ FOLLOW = 0.85
 
 def transitions(graph: Graph) -> DataFrame:
     """(src, dst, p): the chance of each neighbour, parallel edges counting."""
-    pairs = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
+    pairs = graph.stored.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
     return cut(pairs.join(graph.degrees, "src").select("src", "dst", (F.col("m") / F.col("outd")).alias("p")), "transitions")
 
 
@@ -50,18 +50,33 @@ def expected_visits(graph: Graph, starts: DataFrame, kernel: str, length: int, s
 
 
 def graphlet_ratio(graph: Graph) -> DataFrame:
-    """(expected): the chance that a stopping walk of length 4 from a uniform vertex closes a triangle."""
+    """(expected): the chance that a stopping walk of length 4 from a uniform vertex closes a triangle.
+
+    Each closed path a -> b -> c -> a has its three vertices in some order of (degree, id). Edges are turned towards the
+    greater vertex; a triangle is found once, from its least vertex, by pairing that vertex's edges to greater ones: the
+    pairs of a hub's many lesser neighbours are never made. Both directions around a triangle count.
+    """
     p = transitions(graph)
-    one, two, three = p.toDF("a", "b", "p1"), p.toDF("b", "c", "p2"), p.toDF("c", "a", "p3")
-    closed = one.join(two, "b").join(three, ["c", "a"]).agg(F.sum(F.col("p1") * F.col("p2") * F.col("p3")).alias("t"))
-    return closed.select(F.round(F.coalesce("t", F.lit(0.0)) * FOLLOW**3 / graph.n, 9).alias("expected"))
+    # both directions of each pair of neighbours in one row, 0 where there is no edge
+    ab = p.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"), F.when(F.col("src") < F.col("dst"), F.col("p")).otherwise(0.0).alias("up"), F.when(F.col("src") > F.col("dst"), F.col("p")).otherwise(0.0).alias("down"))
+    pairs = cut(ab.groupBy("x", "y").agg(F.sum("up").alias("up"), F.sum("down").alias("down")), "pairs")
+    ends = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).groupBy("x").agg(F.count(F.lit(1)).alias("deg"))
+    ranked = pairs.join(ends, "x").join(ends.select(F.col("x").alias("y"), F.col("deg").alias("deg_y")), "y")
+    forward = F.struct("deg", "x") < F.struct(F.col("deg_y").alias("deg"), F.col("y").alias("x"))
+    turned = cut(ranked.select(F.when(forward, F.col("x")).otherwise(F.col("y")).alias("lo"), F.when(forward, F.col("y")).otherwise(F.col("x")).alias("hi"),
+                               F.when(forward, F.col("up")).otherwise(F.col("down")).alias("out"), F.when(forward, F.col("down")).otherwise(F.col("up")).alias("back")), "turned-pairs")
+    one, two, three = turned.toDF("a", "b", "ab", "ba"), turned.toDF("a", "c", "ac", "ca"), turned.toDF("b", "c", "bc", "cb")
+    closed = one.join(two, "a").join(three, ["b", "c"])
+    # three starting points around either direction
+    share = 3 * (F.col("ab") * F.col("bc") * F.col("ca") + F.col("ac") * F.col("cb") * F.col("ba"))
+    return closed.agg(F.sum(share).alias("t")).select(F.round(F.coalesce("t", F.lit(0.0)) * FOLLOW**3 / graph.n, 9).alias("expected"))
 
 
 def bfs(graph: Graph, source: int, most: int | None = None) -> DataFrame:
     """(vertex, distance) of all that the source reaches, or only of what a path of at most so many edges reaches."""
     frontier = cut(graph.spark.range(source, source + 1).select(F.col("id").alias("vertex"), F.lit(0).alias("distance")), "frontier")
     seen, d = frontier, 0
-    edges = cut(graph.edges.distinct(), "distinct-edges")
+    edges = cut(graph.stored.distinct(), "distinct-edges")
     while most is None or d < most:
         d += 1
         reached = frontier.join(edges, frontier["vertex"] == edges["src"]).select(F.col("dst").alias("vertex")).distinct()

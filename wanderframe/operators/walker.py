@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from math import ceil, log
+from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from .kernels import Kernel, ended
 
 #: Supersteps between two written tables.
 CUT_EVERY = 10
+#: Walks that a task advances together over a resident adjacency.
+WALKS_AT_ONCE = 1 << 16
 
 
 def step(graph: Graph, walks: DataFrame, kernel: Kernel, hop: int, seed: int) -> DataFrame:
@@ -39,15 +44,102 @@ def step(graph: Graph, walks: DataFrame, kernel: Kernel, hop: int, seed: int) ->
     return moved.select(*kept, following.alias("current"))
 
 
-def prob_cap(walks: int, beyond: float = 1e-6) -> int:
-    """Hops after which fewer than so many of the walks are expected to be alive under damping alone."""
-    return ceil(log(beyond / max(1, walks)) / log(0.85)) + 1
+def _positions(graph: Graph, kernel: Kernel, hops: int | None, seed: int) -> Callable:
+    """A function of walk ids and sources, as arrays, that gives hop by hop (numbers of the walks alive, their vertices).
+
+    It runs on executors over the resident adjacency and is self-contained, so that executors need not have this
+    package. The draws are those of functions.rng.
+    """
+    (offsets, targets), n = graph.resident, max(1, graph.n)
+    damped, otherwise = kernel.damped, kernel.otherwise_sql
+    mask, multiplier, stop_below, purposes = rng.MASK, rng.MULTIPLIER, rng.STOP_BELOW, (rng.CONTINUE, rng.NEIGHBOUR, rng.JUMP)
+
+    def draw(walk_id, hop, purpose):
+        x = (walk_id * 1000003 + (hop * 7919 + purpose * 104729 + seed)) & mask
+        for _ in range(2):
+            x = ((x ^ (x >> 16)) * multiplier) & mask
+        return x ^ (x >> 16)
+
+    def positions(walk_id, source):
+        begin_of, target_of = offsets.value, targets.value
+        alive, ids, home, at, hop = np.arange(len(walk_id)), walk_id, source, source, 0
+        while len(alive):
+            yield alive, at
+            if hops is not None and hop >= hops - 1:
+                return
+            known = at < len(begin_of) - 1
+            begin = np.where(known, begin_of[np.where(known, at, 0)], 0)
+            degree = np.where(known, begin_of[np.where(known, at + 1, 0)], 0) - begin
+            goes = degree > 0
+            if damped:
+                goes &= draw(ids, hop, purposes[0]) > stop_below
+            following = target_of[np.where(goes, begin + draw(ids, hop, purposes[1]) % np.maximum(degree, 1), 0)]
+            if otherwise is None:
+                alive, ids, home, at = alive[goes], ids[goes], home[goes], following[goes]
+            else:
+                at = np.where(goes, following, home if otherwise == "source" else draw(ids, hop, purposes[2]) % n)
+            hop += 1
+
+    return positions
+
+
+def _resident_paths(graph: Graph, seeds: DataFrame, kernel: Kernel, hops: int, seed: int) -> DataFrame:
+    positions, names, rows = _positions(graph, kernel, hops, seed), seeds.columns, WALKS_AT_ONCE
+
+    def run(batches):
+        for whole in batches:
+            for batch in (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
+                walk_id, source = (batch.column(names.index(c)).to_numpy() for c in ("walk_id", "source"))
+                seen = np.full((batch.num_rows, hops), -1, np.int64)
+                for hop, (alive, at) in enumerate(positions(walk_id, source)):
+                    seen[alive, hop] = at
+                there = seen >= 0
+                ends = np.append(0, np.cumsum(there.sum(1))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(seen[there]))], [*names, "path"])
+
+    return seeds.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seeds.schema) + ", path array<long>")
+
+
+def _resident_counts(graph: Graph, seeds: DataFrame, kernel: Kernel, hops: int | None, seed: int, by: tuple[str, ...]) -> DataFrame:
+    positions, by_source, rows = _positions(graph, kernel, hops, seed), "source" in by, WALKS_AT_ONCE
+
+    def counted(source, vertex, times):
+        """Each pair once, with its times summed."""
+        order = np.lexsort((vertex, source))
+        source, vertex, times = source[order], vertex[order], times[order]
+        first = np.flatnonzero(np.append(True, (source[1:] != source[:-1]) | (vertex[1:] != vertex[:-1])))
+        return source[first], vertex[first], np.add.reduceat(times, first)
+
+    def run(batches):
+        for whole in batches:
+            for batch in (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
+                walk_id, source = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                parts, size = [], 0
+                for alive, at in positions(walk_id, source):
+                    parts.append((source[alive] if by_source else np.zeros(len(at), np.int64), at, np.ones(len(at), np.int64)))
+                    size += len(at)
+                    if size > 4 * rows:
+                        parts = [counted(*map(np.concatenate, zip(*parts)))]
+                        size = len(parts[0][0])
+                of, vertex, times = counted(*map(np.concatenate, zip(*parts)))
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(vertex), pa.array(times)], ["source", "vertex", "cnt"])
+
+    part = seeds.select("walk_id", "source").mapInArrow(run, "source long, vertex long, cnt long")
+    return part.groupBy(*by).agg(F.sum("cnt").alias("cnt"))
 
 
 def walk(graph: Graph, seeds: DataFrame, kernel: Kernel, length: int, seed: int = 42) -> DataFrame:
-    """paths(seeds' columns, path): the vertices that each walk visits, hop 0 first. For kernels without a limit,
-    length is the cap on visits. Paths are for short walks; visit_counts() keeps none."""
-    hops = kernel.visits(length) or length
+    """paths(seeds' columns, path): the vertices that each walk visits, hop 0 first. Paths are for short walks, of a
+    kernel with a limit; visit_counts() keeps none and takes any kernel.
+
+    Over a small graph, by its counts, walks are made where their seeds are, in one pass over the resident adjacency;
+    else each hop is a join.
+    """
+    hops = kernel.visits(length)
+    if hops is None:
+        raise ValueError(f"walks of kernel {kernel.name} have no limit: count their visits")
+    if graph.small:
+        return _resident_paths(graph, seeds, kernel, hops, seed)
     paths = seeds.withColumns({"current": F.col("source"), "path": F.array("source")})
     for hop in range(hops - 1):
         paths = step(graph, paths, kernel, hop, seed)
@@ -62,30 +154,32 @@ def visits(paths: DataFrame) -> DataFrame:
     return paths.select(*[c for c in paths.columns if c != "path"], F.posexplode("path").alias("hop", "vertex"))
 
 
-def visit_counts(graph: Graph, seeds: DataFrame, kernel: Kernel, length: int, seed: int = 42, by: tuple[str, ...] = ("vertex",)) -> DataFrame:
-    """(by, cnt): visits by vertex, or by source and vertex, for walks of any length.
+def visit_counts(graph: Graph, seeds: DataFrame, kernel: Kernel, length: int | None = None, seed: int = 42, by: tuple[str, ...] = ("vertex",)) -> DataFrame:
+    """(by, cnt): visits by vertex, or by source and vertex, for walks of any length; without a limit until no walk is
+    alive.
 
-    Short walks are one plan: the path array grows and is exploded once. Longer ones keep only positions, which
-    every CUT_EVERY hops are written, together with the counts so far, so that neither plan nor rows grow.
+    Over a small graph, by its counts, walks run and are counted where their seeds are; only counts move. Else a hop is a
+    join of positions alone, which is written, so that what is moved grows with the hops and not with their square.
     """
-    hops = kernel.visits(length) or length
-    if hops <= 2 * CUT_EVERY:
-        return visits(walk(graph, seeds, kernel, length, seed)).groupBy(*by).agg(F.count(F.lit(1)).alias("cnt"))
-    now, total, done = seeds.withColumn("current", F.col("source")), None, 0
-    while done < hops:
-        span = min(CUT_EVERY, hops - done)
-        part = now.withColumn("path", F.array("current"))
-        for hop in range(done, done + span):
-            part = step(graph, part, kernel, hop, seed)
-            if hop < done + span - 1:
-                part = part.withColumn("path", F.when(F.col("current").isNull(), F.col("path")).otherwise(F.concat("path", F.array("current"))))
-        part = cut(part, "walks")
-        counts = visits(part.drop("current")).groupBy(*by).agg(F.count(F.lit(1)).alias("cnt"))
-        total = cut(counts if total is None else counts.unionByName(total).groupBy(*by).agg(F.sum("cnt").alias("cnt")), "visit-counts")
-        now, done = part.drop("path").filter("current IS NOT NULL"), done + span
+    hops = kernel.visits(length)
+    if graph.small:
+        return _resident_counts(graph, seeds, kernel, hops, seed, by)
+    now, total, hop = cut(seeds.select("walk_id", "source", F.col("source").alias("current")), "walks"), None, 0
+    pending = [now]
+    while hops is None or hop < hops - 1:
+        now = cut(step(graph, now, kernel, hop, seed).filter("current IS NOT NULL"), "walks")
+        hop += 1
         if kernel.otherwise is None and now.isEmpty():
             break
-    return total
+        pending.append(now)
+        if len(pending) >= CUT_EVERY:
+            total, pending = _added(pending, total, by), []
+    return _added(pending, total, by) if pending else total
+
+
+def _added(positions: list[DataFrame], total: DataFrame | None, by: tuple[str, ...]) -> DataFrame:
+    counts = reduce(DataFrame.unionByName, [x.withColumnRenamed("current", "vertex").select(*by) for x in positions]).groupBy(*by).agg(F.count(F.lit(1)).alias("cnt"))
+    return cut(counts if total is None else counts.unionByName(total).groupBy(*by).agg(F.sum("cnt").alias("cnt")), "visit-counts")
 
 
 def alive_by_hop(paths: DataFrame) -> DataFrame:
