@@ -92,6 +92,11 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def light(df: DataFrame, row_bytes: int, most: int = 64 << 20) -> DataFrame:
+    """A written table, to be broadcast in joins if its counted rows, of about so many bytes, are below a bound."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 def trim() -> None:
     """Gives memory that this process no longer uses back to the system."""
     gc.collect()
@@ -126,8 +131,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z lower-cased and nothing else."""
-    return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())
+    """A-Z lower-cased and nothing else. In ASCII texts that is lower(), which takes a byte at a time and no lookup."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_UPPER.lower()))
 
 
 def split_words(text: Column, separators: str = SPACE_RUN) -> Column:

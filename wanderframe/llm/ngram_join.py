@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import discard, shipped, table, tidied, written
+from .common import discard, light, shipped, table, tidied, written
 from .components import components
 
 #: Largest boundary that is considered.
@@ -398,10 +398,9 @@ def _wanted_sets(docs: DataFrame, rows: DataFrame, fps: DataFrame, classes, clas
 
 
 def _with_sets(rows: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """A written table joined with a column of sets on fp: it is broadcast, so that sets do not move, if its counted rows
-    are few."""
-    few = rows.count() * 100 <= BROADCAST_BYTES
-    return (F.broadcast(rows) if few else rows).join(sets.select("fp", column), "fp")
+    """A written table of list members joined with a column of sets on fp: it is broadcast, so that sets do not move, if
+    it is small."""
+    return light(rows, 100, BROADCAST_BYTES).join(sets.select("fp", column), "fp")
 
 
 def _blocks_for(many: Column, weight: Column) -> Column:
@@ -522,7 +521,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     odd rows holds here.
     """
     dropped = written(joined(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(light(dropped, 32, BROADCAST_BYTES), "doc_id", "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
