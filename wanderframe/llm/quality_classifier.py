@@ -154,13 +154,13 @@ class RuleEnsemble:
         return 1 / (1 + F.exp(-z))
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, strength: float = 5e-4, most: int = 400) -> RuleEnsemble:
+def fit_rules(x: np.ndarray, y: np.ndarray, strength: float = 5e-4) -> RuleEnsemble:
     """One class or no rows: no rules, and the score is that class's share (0.5 without rows)."""
     share = float(y.mean()) if len(y) else 0.5
     if len(y) < 20 or share in (0.0, 1.0):
         p = min(0.999, max(0.001, share))
         return RuleEnsemble(float(np.log(p / (1 - p))), ())
-    rules = tree_rules(x, y)[:most]
+    rules = tree_rules(x, y)
     intercept, weights = lasso_logistic(np.stack([holds(r, x) for r in rules], 1).astype(np.float32), y, strength)
     return RuleEnsemble(intercept, tuple((r, float(w)) for r, w in zip(rules, weights) if w))
 
@@ -168,24 +168,29 @@ def fit_rules(x: np.ndarray, y: np.ndarray, strength: float = 5e-4, most: int =
 def fitted(docs: DataFrame, labels: DataFrame) -> RuleEnsemble:
     """An ensemble from docs(doc_id, text) and labels(doc_id, quality), without the held-out fold.
 
-    At most MAX_LABELLED rows, first by a hash of the id: the same data give the same ensemble.
+    At most MAX_LABELLED ids, first by a hash of the id: the same data give the same ensemble. An id counts once, with
+    its greatest label and text if rows repeat it. Labels other than 0 and 1 and null ids are not learnt from.
     """
     known = labels.filter((fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-    chosen = known.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(MAX_LABELLED)
-    # the limit bounds the broadcast
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")).join(F.broadcast(chosen), "doc_id").toArrow()
+    chosen = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    # the limit bounds the broadcast, and one text for an id what comes to the driver
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
+    rows = statistics(texts).join(F.broadcast(chosen), "doc_id").toArrow()
     rows = rows.sort_by([(s, "ascending") for s in ("doc_id", *STATISTICS, "quality")])
     return fit_rules(np.stack([rows[s].to_numpy() for s in STATISTICS], 1), rows["quality"].to_numpy().astype(np.float64))
 
 
 def scored(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text). Null and empty texts score as texts without words."""
+    """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text); other columns, whatever their names, are
+    ignored. Null and empty texts score as texts without words. Repeated rows are scored each and alike, very long texts
+    are taken whole, a null id is not held out. An empty table gives an empty one."""
     out = statistics(docs).withColumn("score", model.score())
     return out.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def kept(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
-    """docs, with all columns, that the ensemble predicts to be of quality. One pass; text and scores travel together."""
+    """docs, with all columns, whatever their names, that the ensemble predicts to be of quality. One pass; text and scores
+    travel together. What scored() says of odd rows holds here."""
     at = docs.columns.index("text")
 
     @tidied

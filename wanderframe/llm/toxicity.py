@@ -1,8 +1,9 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives, other texts are unlabelled; no text counts as a negative. The risk of
-a linear model over the presence of words and word beginnings is estimated from both with the class prior,
-and the part that stands for negatives is kept from going below zero (the non-negative estimator).
+a linear model over words and word beginnings (whether a text has them, more than once, and as a share of its words)
+is estimated from both with the class prior, and the part that stands for negatives is kept from going below zero (the
+non-negative estimator).
 Features are counted and chosen in Spark; the driver gets the chosen features' lists for a bounded sample.
 """
 
@@ -12,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,21 +22,36 @@ from pyspark.sql import functions as F
 
 from .common import table, tidied, written
 
-#: Most rows that a model is fitted on, and most features.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 5000, 10000, 1000
+#: Most rows that a model is fitted on.
+MAX_POSITIVE, MAX_UNLABELLED = 5000, 10000
 #: A feature's least standard errors above chance, and least estimated share of toxic texts among those that have it.
 MIN_Z, MIN_PURITY = 4.5, 0.5
 #: Lengths of the word beginnings that are features beside whole words.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
+#: A word or beginning counts as frequent from one in so many of a text's words on.
+ONE_IN = 100
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 
 _words = re.compile(r"[^\W\d_]+").findall
 
 
-def features_of(text: str | None) -> set[str]:
-    """The distinct words, lower-cased, and their beginnings, which end in a hyphen."""
-    words = set(_words((text or "").lower()))
-    return words | {f"{w[:k]}-" for w in words for k in PREFIXES if len(w) > k}
+def counts_of(text: str | None, wanted=None) -> tuple[Counter, int]:
+    """How often a text has each word, lower-cased, and each beginning, which ends in a hyphen (only those wanted, if
+    given), and its number of words."""
+    words, out = Counter(_words((text or "").lower())), Counter()
+    for w, k in words.items():
+        if wanted is None or w in wanted:
+            out[w] += k
+        for p in PREFIXES:
+            if len(w) > p and (wanted is None or w[:p] + "-" in wanted):
+                out[w[:p] + "-"] += k
+    return out, words.total()
+
+
+def features_of(text: str | None, wanted=None) -> set[str]:
+    """x for each of counts_of(), x+ if it is there more than once, x% if it is frequent."""
+    found, n = counts_of(text, wanted)
+    return {f for x, k in found.items() for f in (x, *([x + "+"] if k > 1 else ()), *([x + "%"] if ONE_IN * k >= n else ()))}
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -47,12 +64,14 @@ class LinearModel:
     bias: float
     weights: dict[str, float]
 
+    @cached_property
+    def wanted(self) -> frozenset[str]:
+        """The words and beginnings that some weight is about."""
+        return frozenset(f.rstrip("+%") for f in self.weights)
+
     def score(self, text: str | None) -> float:
-        words, get = set(_words((text or "").lower())), self.weights.get
-        seen = {w for w in words if w in self.weights}
-        for k in PREFIXES:
-            seen |= {p for w in words if len(w) > k and (p := f"{w[:k]}-") in self.weights}
-        return 1.0 / (1.0 + float(np.exp(-np.clip(self.bias + sum(get(f) for f in sorted(seen)), -50, 50))))
+        z = self.bias + sum(self.weights[f] for f in sorted(features_of(text, self.wanted)) if f in self.weights)
+        return 1.0 / (1.0 + float(np.exp(-np.clip(z, -50, 50))))
 
 
 def fit_nnpu(rows: list[list[int]], positive: np.ndarray, n_features: int, prior: float, steps: int = 800, rate: float = 0.1, l2: float = 1e-4) -> tuple[float, np.ndarray]:
@@ -70,7 +89,8 @@ def fit_nnpu(rows: list[list[int]], positive: np.ndarray, n_features: int, prior
         negative_risk = (in_u * loss_as_negative).sum() - prior * (in_p * loss_as_negative).sum()
         d_negative = in_u * p - prior * in_p * p
         d = prior * in_p * (p - 1) + d_negative if negative_risk >= 0 else -d_negative
-        # the bias always follows the uncorrected risk: at its minimum the mean score of the unlabelled is the prior
+        # the bias always follows the uncorrected risk: at its minimum the mean score of the unlabelled is the prior.
+        # With the corrected risk's, too, few positives let the bias rise: precision 0.15 instead of 1 with 36 of them
         grad = np.append(np.bincount(index, d[row], n_features) + l2 * theta[:-1], (in_u * p).sum() - prior)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -83,8 +103,9 @@ def fit_nnpu(rows: list[list[int]], positive: np.ndarray, n_features: int, prior
 def fitted(docs: DataFrame, labels: DataFrame) -> LinearModel:
     """A model from docs(doc_id, text) and labels(doc_id, toxic), without the held-out fold.
 
-    Rows are chosen by the order of a hash of the id, so the same data give the same model. Without a positive
-    the model says the prior for every text.
+    Rows are chosen by the order of a hash of the id, each id once, so the same data give the same model; of rows that
+    share an id all texts count, each text once. Labels other than 0 and 1 and null ids are not learnt from. Without a
+    positive, or without a text of one, the model says the prior for every text.
     """
     train = fold(F.col("doc_id"), FOLDS) != HELD_OUT
     known = labels.filter(train & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -92,22 +113,28 @@ def fitted(docs: DataFrame, labels: DataFrame) -> LinearModel:
     prior = min(0.9, max(0.01, float(prior))) if prior is not None else 0.01
     by_hash = F.xxhash64("doc_id")
     confirmed = known.filter("toxic = 1").select("doc_id").distinct().orderBy(by_hash, "doc_id").limit(MAX_POSITIVE)
-    others = docs.filter(train & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(MAX_UNLABELLED)
+    others = docs.filter(train & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(MAX_UNLABELLED)
     # at most MAX_POSITIVE + MAX_UNLABELLED ids: small enough to broadcast
-    chosen = confirmed.select("doc_id", F.lit(True).alias("positive")).unionByName(others.distinct().select("doc_id", F.lit(False).alias("positive")))
+    chosen = confirmed.select("doc_id", F.lit(True).alias("positive")).unionByName(others.select("doc_id", F.lit(False).alias("positive")))
     # a text that copies repeat counts once, else the words of one much copied text would look toxic
     sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text", "positive").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", "positive"), "toxicity-sample")
 
     @tidied
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(seen):
+            names = sorted(seen[0].keys() | seen[1].keys())
+            for at in range(0, len(names), 50_000):
+                part = names[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[1][f] for f in part], pa.int64()), pa.array([seen[0][f] for f in part], pa.int64())], ["feature", "p", "u"])
+
         seen = Counter(), Counter()
         for batch in batches:
             for text, positive in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen[positive].update(features_of(text))
-        names = sorted(seen[0].keys() | seen[1].keys())
-        for at in range(0, len(names), 50_000):
-            part = names[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[1][f] for f in part], pa.int64()), pa.array([seen[0][f] for f in part], pa.int64())], ["feature", "p", "u"])
+                if len(seen[0]) + len(seen[1]) > 1_000_000:
+                    yield from told(seen)
+                    seen = Counter(), Counter()
+        yield from told(seen)
 
     total = sample.agg(F.sum(F.col("positive").cast("long")), F.count(F.lit(1))).first()
     n_pos, n_unl = total[0] or 0, (total[1] or 0) - (total[0] or 0)
@@ -118,14 +145,15 @@ def fitted(docs: DataFrame, labels: DataFrame) -> LinearModel:
     common = (F.col("u") + F.col("p") + 1) / (n_unl + n_pos)
     excess = (rate_p - rate_u) / F.sqrt(common * (1 / n_pos + 1 / n_unl))
     best = (sample.select("text", "positive").mapInArrow(counts, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-            .filter((F.col("p") >= 3) & (excess >= MIN_Z) & (prior * rate_p >= MIN_PURITY * rate_u)).orderBy(excess.desc(), "feature").limit(MAX_FEATURES).collect())
-    names = [r["feature"] for r in best]
+            .filter((F.col("p") >= 3) & (excess >= MIN_Z) & (prior * rate_p >= MIN_PURITY * rate_u)).select("feature").collect())
+    names = sorted(r["feature"] for r in best)  # of a bounded sample's texts
     number = {f: i for i, f in enumerate(names)}
+    wanted = frozenset(f.rstrip("+%") for f in names)
 
     @tidied
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            have = [sorted(number[f] for f in features_of(t) if f in number) for t in batch.column(0).to_pylist()]
+            have = [sorted(number[f] for f in features_of(t, wanted) if f in number) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(have, pa.list_(pa.int32())), batch.column(1)], ["have", "positive"])
 
     rows = sample.select("text", "positive").mapInArrow(listed, "have array<int>, positive boolean").toArrow()
@@ -136,7 +164,9 @@ def fitted(docs: DataFrame, labels: DataFrame) -> LinearModel:
 
 
 def scored(docs: DataFrame, model: LinearModel) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text). Null and empty texts get the bias's score."""
+    """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text); other columns, whatever their names, are
+    ignored. Null and empty texts get the bias's score. Repeated rows are scored each and alike, very long texts are
+    taken whole, a null id is not held out. An empty table gives an empty one."""
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
