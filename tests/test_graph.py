@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import same
-from wanderframe import catalog
+from wanderframe import catalog, jobs
 from wanderframe.functions import packing, rng
 from wanderframe.operators import analytics, blocks, exact, kernels, seeds
 from wanderframe.operators import graph as graph_module
@@ -259,3 +259,42 @@ def test_streamed_degrees(spark, tmp_path):
         assert rows(spark.table("degrees")) == [(0, 3), (2, 1)]
     finally:
         q.stop()
+
+
+def test_kernels_and_consumers_of_ones_own(spark):
+    """A kernel that goes to vertex 0 where it follows no edge, and a consumer that takes the last vertex of each walk."""
+    home = kernels.Kernel("home", lambda source, target: F.lit(0).cast("long"), None)
+    g = graph(spark, [(0, 1), (1, 2), (2, 3)])
+    paths = walk(g, seeds.every_vertex(g, 50), home, 6)
+    assert not home.resident and {len(r["path"]) for r in paths.collect()} == {6}
+    ends = dict(rows(visits(paths).filter("hop = 5").groupBy("vertex").count()))
+    assert sum(ends.values()) == 200 and ends[0] > 20
+    counts = dict(rows(visit_counts(g, seeds.every_vertex(g, 50), home, 6)))
+    assert counts == dict(rows(visits(paths).groupBy("vertex").count()))
+
+
+@pytest.mark.parametrize("job", sorted(jobs.JOBS))
+def test_jobs_run_from_an_edge_file(spark, tmp_path, job):
+    (tmp_path / "e.txt").write_text("# c\n" + "".join(f"{i}\t{(i * 3 + k) % 30}\n" for i in range(29) for k in (1, 4)))
+    (tmp_path / "conf").write_text("R = 20 # few\n" if hasattr(jobs.JOBS[job][0], "R") else "walkspersource=20\n")
+    given = [f"file={tmp_path}/e.txt", "--out", f"{tmp_path}/out", f"--config={tmp_path}/conf", f"log={tmp_path}/log"]
+    found = jobs.run(spark, job, given)
+    assert found.count() > 0
+    jobs.run(spark, job, given)
+    said = (tmp_path / "log").read_text()
+    assert said.count("preparing") == 1 and said.count("opened") == 1 and said.count("ended after") == 2
+    assert f"job: {job}" in "".join(r[0] + "\n" for r in spark.read.text(f"{tmp_path}/out/metrics/text").collect())
+    if "cnt" in found.columns:
+        assert 0 < spark.read.option("header", True).csv(f"{tmp_path}/out/top").count() <= 20
+
+
+def test_jobs_measure_errors_and_mend_unfinished_graphs(spark, tmp_path):
+    (tmp_path / "e.txt").write_text("0 1\n1 0\n1 2\n2 0\n")
+    (tmp_path / "accurate").write_text("0 0.4\n1 0.4\n2 0.2\n")
+    (tmp_path / "e.txt_graph").mkdir()
+    jobs.run(spark, "pagerank", [f"file={tmp_path}/e.txt", f"out={tmp_path}/out", f"accurate={tmp_path}/accurate", "R=200", f"log={tmp_path}/log"])
+    assert "removed the unfinished" in (tmp_path / "log").read_text()
+    assert 0 < float(spark.read.option("header", True).csv(f"{tmp_path}/out/error").first()["error"]) < 0.5
+    with pytest.raises(ValueError, match="file and out"):
+        jobs.run(spark, "pagerank", [])
+    assert jobs.main(["nothing"]) == 2

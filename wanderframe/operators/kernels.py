@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 class Kernel:
     """otherwise(source, jump target) is the next vertex of a walk that follows no edge; None ends the walk.
 
+    otherwise_sql names the same for SQL and for resident walks: "source", "target", or None where a kernel of one's own
+    does something else or ends the walk.
     damped: an edge is followed only where the walk's draw says so, else wherever there is one.
     visits(length): how many positions a walk of that length records; None for no limit.
     """
@@ -23,6 +25,11 @@ class Kernel:
     damped: bool = True
     visits: Callable[[int], int | None] = lambda length: length
 
+    @property
+    def resident(self) -> bool:
+        """Whether otherwise is one of those that walks over a resident adjacency know; others step by joins."""
+        return self.otherwise is None or self.otherwise_sql in ("source", "target")
+
 
 jump = Kernel("jump", lambda source, target: target, "target")
 stop = Kernel("stop", None, None)

@@ -138,7 +138,7 @@ def walk(graph: Graph, seeds: DataFrame, kernel: Kernel, length: int, seed: int
     hops = kernel.visits(length)
     if hops is None:
         raise ValueError(f"walks of kernel {kernel.name} have no limit: count their visits")
-    if graph.small:
+    if graph.small and kernel.resident:
         return _resident_paths(graph, seeds, kernel, hops, seed)
     paths = seeds.withColumns({"current": F.col("source"), "path": F.array("source")})
     for hop in range(hops - 1):
@@ -162,7 +162,7 @@ def visit_counts(graph: Graph, seeds: DataFrame, kernel: Kernel, length: int | N
     join of positions alone, which is written, so that what is moved grows with the hops and not with their square.
     """
     hops = kernel.visits(length)
-    if graph.small:
+    if graph.small and kernel.resident:
         return _resident_counts(graph, seeds, kernel, hops, seed, by)
     now, total, hop = cut(seeds.select("walk_id", "source", F.col("source").alias("current")), "walks"), None, 0
     pending = [now]

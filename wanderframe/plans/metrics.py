@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import html
 import json
 import time
 from collections import defaultdict
 from contextlib import contextmanager
 
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
 
 class Metrics:
     def __init__(self):
@@ -35,3 +39,12 @@ class Metrics:
 
     def as_text(self) -> str:
         return "\n".join([*(f"{k}: {v}" for k, v in sorted(self.labels.items())), *(f"{k}: {s['sum']:g} ({s['count']})" for k, s in self.summary().items())])
+
+    def as_html(self) -> str:
+        cells = [(k, v) for k, v in sorted(self.labels.items())] + [(k, f"{s['sum']:g}") for k, s in self.summary().items()]
+        return "<table>" + "".join(f"<tr><td>{html.escape(k)}</td><td>{html.escape(v)}</td></tr>" for k, v in cells) + "</table>"
+
+    def written(self, spark: SparkSession, path: str) -> None:
+        """The text, JSON and HTML reports, as text files in folders of these names under path."""
+        for name, report in (("text", self.as_text()), ("json", self.as_json()), ("html", self.as_html())):
+            spark.range(1).select(F.lit(report).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
