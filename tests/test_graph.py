@@ -186,7 +186,18 @@ def test_top_k_breaks_ties_by_vertex(spark):
 
 def test_greedy_blocks_isolate_a_large_vertex(spark):
     edges = [(0, 1), (1, 0), (2, 0), (2, 1), (2, 3), (2, 4), (2, 5), (3, 1), (4, 1), (5, 1)]
-    assert rows(blocks.greedy_blocks(graph(spark, edges), 3)) == [(0, 1, 2), (2, 2, 5), (3, 5, 3)]
+    for small in (True, False):
+        g = graph(spark, edges)
+        g.small = small
+        assert rows(blocks.greedy_blocks(g, 3)) == [(0, 1, 2), (2, 2, 5), (3, 5, 3)]
+
+
+def test_greedy_blocks_are_the_same_either_way(spark):
+    edges = [(i, (i + k) % 200) for i in range(200) if i % 7 for k in range(1, 2 + i % 5)]
+    near, far = graph(spark, edges), graph(spark, edges)
+    far.small = False
+    for most in (1, 10, 1000):
+        assert rows(blocks.greedy_blocks(near, most)) == rows(blocks.greedy_blocks(far, most))
 
 
 def test_prob_walks_end(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +46,17 @@ def greedy_blocks(graph: Graph, edges_per_block: int) -> DataFrame:
 
     Where a block that began at a vertex would end is found for all vertices at once: the last begin position
     within reach lies in the same or the next stretch of edges_per_block positions. The blocks are then the
-    vertices that the first one reaches, found by doubling jumps, so the rounds are the logarithm of their number.
+    vertices that the first one reaches, found by doubling jumps, so the rounds are the logarithm of their number. A
+    graph that is small by its counts is cut on the driver, by binary searches in the resident begin positions.
     """
     most = edges_per_block
+    if graph.small:
+        begins, starts = graph.resident[0].value, [0] if graph.n else []
+        while starts and starts[-1] < graph.n:
+            at = starts[-1]
+            starts.append(max(at + 1, int(np.searchsorted(begins, begins[at] + most, side="right")) - 1))
+        rows = [(a, b - 1, int(begins[b] - begins[a])) for a, b in zip(starts, starts[1:])]
+        return graph.spark.createDataFrame(rows, "first long, last long, edges long")
     at = cut(begin_positions(graph).withColumn("stretch", F.expr(f"begin div {most}")), "begins")
     last_in = at.groupBy("stretch").agg(F.max("id").alias("stretch_last"))
     marks = at.select(F.col("stretch"), F.col("begin").alias("at"), F.lit(0).alias("asks"), "id").unionByName(
