@@ -73,6 +73,54 @@ def test_quality_classifier_learns_and_takes_any_rows(spark):
     assert kept.columns == ["doc_id", "text", "log_bytes"] and {r["doc_id"] for r in kept.collect()} == {i for i in out if out[i]["predicted"]}
 
 
+def python_quality_statistics(text):
+    """STATISTICS by counting, one after the other."""
+    data = (text or "").encode()
+    if not data:
+        return [0.0] * 22
+    words, lines = [w for w in re.split(rb"[ \t\n\r\x0b\x0c]+", data) if w], [x for x in data.split(b"\n") if x]
+    share = lambda chars: sum(b in chars for b in data) / len(data)
+    w, most = max(1, len(words)), Counter(words).most_common(1)
+    mean = lambda values: sum(values) / w
+    return [
+        np.log(1 + len(data)), np.log(1 + len(words)), share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(b"0123456789"), share(b"#*$%&<>@^~=+_{}[]\\"), share(b"|"), share(b"!?"), share(b"."), share(b",;:"),
+        sum(b > 127 for b in data) / len(data), share(b" \t\n\r\x0b\x0c"), mean(map(len, words)), len(set(words)) / w, len({(a, b) for a, b in zip(words, words[1:])}) / w,
+        mean(a == b for a, b in zip(words, words[1:])), mean(len(x) <= 3 for x in words), mean(len(x) >= 14 for x in words), mean(x.isupper() for x in words), mean(x[-1:] in b"#*$%&<>|" and x != b"" for x in words),
+        len(set(lines)) / max(1, len(lines)), min(500.0, len(words) / max(1, len(lines))), most[0][1] / w if words and len(set(words)) < w // 4 else 0.0]
+
+
+def python_quality_score(model, text):
+    x = python_quality_statistics(text)
+    z = model.intercept + sum(weight for rule, weight in model.rules if all((x[f] > t) if above else (x[f] <= t) for f, above, t in rule))
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_scores_are_those_of_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = quality_classifier.fitted(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for text in [t for _, t in HARD] + [t for _, t in texts[:40]]:
+        assert np.allclose(quality_classifier.statistics_of(text), python_quality_statistics(text))
+    got = {r["doc_id"]: r for r in quality_classifier.scored(docs, model).collect()}
+    import zlib
+
+    for i, t in texts:
+        want = python_quality_score(model, t)
+        assert abs(got[i]["score"] - want) < 1e-9 and got[i]["predicted"] == int(want >= 0.5)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+    clash = docs.withColumns({c: F.lit("x") for c in ("score", "held_out", "log_bytes", "predicted")})
+    assert rows(quality_classifier.scored(clash, model)) == rows(quality_classifier.scored(docs, model))
+
+
+def test_repeated_rows_teach_once(spark):
+    """An id that a third of all rows repeat, in both tables, changes neither model."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet")
+    again = lambda df: df.unionByName(df.filter(f"doc_id = {some}").crossJoin(spark.range(100)).drop("id"))
+    some = labels.filter("toxic = 1").agg(F.min("doc_id")).first()[0]
+    assert quality_classifier.fitted(again(docs), again(labels)) == quality_classifier.fitted(docs, labels)
+    assert toxicity.fitted(again(docs), labels) == toxicity.fitted(docs, labels)
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1), (5, 1)]])
 def test_quality_classifier_without_two_classes_keeps_all(spark, labels):
     model = quality_classifier.fitted(hard(spark), spark.createDataFrame(labels, "doc_id long, quality int"))
@@ -107,6 +155,27 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark):
     assert rows(toxicity.scored(empty(spark), model)) == []
 
 
+def python_toxicity(model, text):
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    z = model.bias
+    for f, weight in model.weights.items():
+        name = f.rstrip("+%")
+        k = sum(w.startswith(name[:-1]) and len(w) >= len(name) if name.endswith("-") else w == name for w in words)
+        z += weight * (k > 1 if f.endswith("+") else 100 * k >= len(words) and k > 0 if f.endswith("%") else k > 0)
+    return 1 / (1 + np.exp(-z))
+
+
+def test_toxicity_scores_are_those_of_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    names = Counter(f for r in docs.limit(60).collect() for f in toxicity.features_of(r["text"]))
+    rnd = random.Random(8)
+    model = toxicity.LinearModel(-1.0, {f: rnd.uniform(-2, 2) for f in rnd.sample(sorted(names), 400)})
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()] + HARD
+    got = toxicity.scored(spark.createDataFrame(texts, "doc_id long, text string").withColumn("score", F.lit("clash")), model).collect()
+    assert np.allclose(sorted(r["score"] for r in got), sorted(python_toxicity(model, t) for _, t in texts))
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got) and len({r["score"] for r in got}) > 50
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 0)], [(1, 1)]])
 def test_toxicity_with_too_few_labels_scores_the_prior(spark, labels):
     model = toxicity.fitted(hard(spark), spark.createDataFrame(labels, "doc_id long, toxic int"))
@@ -139,6 +208,9 @@ def test_token_counts_are_the_librarys(spark):
     assert [r["n_tokens"] for r in got] == want
     assert [(r["n_bytes"], r["over_limit"]) for r in got] == [(len(t.encode()), n > 1024) for t, n in zip(texts, want)]
     assert tokens.token_counts(empty(spark), path).count() == 0
+    clash = hard(spark).withColumns({c: F.lit("x") for c in ("n_tokens", "n_bytes", "over_limit", "ids")})
+    assert rows(tokens.token_counts(clash, path)) == rows(tokens.token_counts(hard(spark), path))
+    assert tokens.encoded(clash, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).columns == ["doc_id", "ids", "n_tokens"]
 
 
 @pytest.fixture(scope="module")
@@ -201,6 +273,19 @@ def test_chats_come_back_from_the_template(spark):
     assert chat_format.format_chats(chat_format.gathered(df.filter("false"), "conv_id", "turn", "role", "text")).count() == 0
 
 
+def test_long_chats_and_clashing_names(spark):
+    turns = [{"role": ("user", "assistant")[i % 2], "content": "x" * (i % 7)} for i in range(1500)] + [{"role": "assistant", "content": "<|im_end|>" * 20_000}]
+    df = spark.createDataFrame([(turns, "y")], "messages array<struct<role:string,content:string>>, extra string")
+    r = chat_format.format_chats(df).select("formatted", "loss_spans", "extra", chat_format.read_back(F.col("formatted")).alias("said")).first()
+    assert [(x["role"], x["text"]) for x in r["said"]] == [(t["role"], t["content"]) for t in turns] and r["extra"] == "y"
+    assert [re.sub(r"\\(\\?)", r"\1", r["formatted"][s["start"] : s["start"] + s["length"]]) for s in r["loss_spans"]] == [t["content"] for t in turns if t["role"] == "assistant"]
+    for name in ("fingerprint", "layout", "turns"):
+        with pytest.raises(ValueError, match=name):
+            chat_format.format_chats(df.withColumn(name, F.lit(1)))
+    with pytest.raises(ValueError, match="system"):
+        chat_format.from_json_records(spark.createDataFrame([("{}", 1)], "payload string, system int"), "payload")
+
+
 def test_layouts_are_told_by_their_fields(spark):
     payloads = [
         '{"prompt": "p", "response": "r", "extra": {"a": 1}}', '{"completion": "c", "prompt": "p", "system": "s"}', '{"instruction": "i", "input": "x", "output": "o"}', '{"instruction": "i", "output": "o"}',
@@ -559,7 +644,14 @@ def test_secrets(spark):
     for i, t in docs:
         spans = sorted((m.start(), k, m.end()) for k, r in enumerate(secret_scan.RULES) for m in r.compiled().finditer(t or "") if m.end(r.group) - m.start(r.group) >= r.least)
         want.append((i, [(secret_scan.RULES[k].kind, s, e) for s, k, e in spans]))
-    got = secret_scan.found_secrets(spark.createDataFrame(docs, "doc_id long, text string"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = secret_scan.found_secrets(df)
+    told = []
+    for i, spans in want:
+        base = [x for x in spans if x[0] in ("assign", "access", "hex")]
+        said = lambda xs: ",".join(f"{k}:{s}:{e}" for k, s, e in xs)
+        told.append((i, *(sum(x[0] == k for x in base) for k in ("assign", "access", "hex")), hashlib.sha256(said(base).encode()).hexdigest(), said(spans)))
+    assert rows(secret_scan.digests(df.withColumns({c: F.lit("x") for c in ("spans", "n_hex", "base_sha256")}))) == sorted(told, key=repr)
     assert sorted(((r["doc_id"], [tuple(x) for x in r["spans"]]) for r in got.collect()), key=repr) == sorted(want, key=repr)
     assert secret_scan.digests(empty(spark)).count() == 0
 

@@ -7,8 +7,8 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from tests.llm.test_operators import HARD, hard, python_components, python_overlap
-from wanderframe.llm import secret_scan
+from tests.llm.test_operators import HARD, hard, python_components, python_overlap, python_quality_score
+from wanderframe.llm import quality_classifier, secret_scan
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,10 +29,10 @@ def texts(df):
 
 
 def test_stages_do_what_plain_python_does(spark, outputs):
-    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality_classifier.fitted(table, spark.read.parquet(f"{SF}/labels.parquet"))
     good, distinct, clean, redacted, tokens = outputs
-    kept = {i for i, _ in texts(good)}
-    assert all((i in kept) == bool(q) for i, q in labels.items() if i % 100 < 50 or q)
+    assert texts(good) == [(i, t) for i, t in texts(table) if python_quality_score(model, t) >= 0.5]
     assert {i for i, _ in texts(distinct)} == {d for d, _, c in python_components(texts(good)) if d == c}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert texts(clean) == [(i, t) for i, t in texts(distinct) if not python_overlap(t, items)[3]]
@@ -43,6 +43,12 @@ def test_stages_do_what_plain_python_does(spark, outputs):
     assert {r["doc_id"]: r["ids"] for r in tokens.collect()} == {i: library.encode_ordinary(t) for i, t in texts(redacted)}
 
 
+def test_the_first_stage_keeps_what_labels_call_good(spark, outputs):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    kept = {i for i, _ in texts(outputs[0])}
+    assert sum((i in kept) == bool(q) for i, q in labels.items()) >= 0.98 * len(labels)
+
+
 def test_columns_stay(spark, outputs):
     columns = spark.read.parquet(f"{SF}/documents.parquet").columns
     assert all(df.columns == columns for df in outputs[:-1])

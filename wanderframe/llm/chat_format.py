@@ -28,6 +28,10 @@ RECORD_SCHEMA = (
     "messages array<struct<role:string,content:string>>, conversations array<struct<from:string,value:string>>"
 )
 
+RECORD_FIELDS = ("prompt", "response", "completion", "instruction", "input", "output", "system", "messages", "conversations")
+#: Turns whose spans are gathered at a time: what is copied grows with their number and not with its square.
+TURNS_AT_ONCE = 256
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -104,7 +108,14 @@ def _layout_turns(df: DataFrame, layout: Layout) -> Column:
 
 
 def canonical_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """df with layout (name or null) and turns, by fingerprint."""
+    """df with fingerprint, layout (name or null) and turns.
+
+    Top-level columns named like a field of some layout are that field; all others are kept and mean nothing here.
+    Columns that the result would hide are an error. Null and empty texts are turns with empty text; repeated rows are
+    records of their own; very long texts and many turns are taken whole; an empty table gives an empty one.
+    """
+    if taken := {"fingerprint", "layout", "turns"} & set(df.columns):
+        raise ValueError(f"there are columns named {', '.join(sorted(taken))} already: rename them")
     print_of = fingerprint(df, layouts)
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in layouts:
@@ -114,7 +125,10 @@ def canonical_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Dat
 
 
 def from_json_records(df: DataFrame, payload: str) -> DataFrame:
-    """JSON strings of any layout, as the layouts' fields. Broken JSON gives a row of nulls."""
+    """JSON strings of any layout, as the layouts' fields. Broken JSON gives a row of nulls. Columns of df named like a
+    layout's field are an error."""
+    if taken := set(RECORD_FIELDS) & set(df.columns):
+        raise ValueError(f"there are columns named {', '.join(sorted(taken))} already: rename them")
     return df.withColumn("_record", F.from_json(F.col(payload), RECORD_SCHEMA)).select(*df.columns, "_record.*")
 
 
@@ -137,15 +151,21 @@ def formatted(turns: Column) -> Column:
 
 def loss_spans(turns: Column) -> Column:
     """(start, length) in code points of each assistant text within the formatted text: what a loss is computed on."""
+    none = F.array().cast("array<struct<start:int,length:int>>")
 
     def step(acc: Column, t: Column) -> Column:
         head, body = len(START) + len(SEP) + F.length(escape(t["role"])), F.length(escape(t["text"]))
-        span = F.when(t["role"] == "assistant", F.array(F.struct((acc["at"] + head).alias("start"), body.alias("length")))).otherwise(
-            F.array().cast("array<struct<start:int,length:int>>"))
+        span = F.when(t["role"] == "assistant", F.array(F.struct((acc["at"] + head).alias("start"), body.alias("length")))).otherwise(none)
         return F.struct((acc["at"] + head + body + len(END) + 1).alias("at"), F.concat(acc["spans"], span).alias("spans"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    return F.aggregate(turns, zero, step, lambda acc: acc["spans"])
+    def moved(acc: Column, part: Column) -> Column:
+        spans = F.transform(part["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["length"].alias("length")))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["spans"], F.array(spans)).alias("spans"))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(turns) / TURNS_AT_ONCE).cast("int")), lambda k: F.aggregate(
+        F.slice(turns, k * TURNS_AT_ONCE + 1, TURNS_AT_ONCE), F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,length:int>>>").alias("spans"))
+    return F.when(turns.isNotNull(), F.aggregate(parts, zero, moved, lambda acc: F.flatten(acc["spans"])))
 
 
 def read_back(text: Column) -> Column:

@@ -60,7 +60,8 @@ def repeated_word_count(words: Column, window: int = WINDOW) -> Column:
 
 
 def text_statistics(text: Column) -> Column:
-    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long); null text counts as empty."""
+    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long); null text counts as empty, empty and
+    blank ones have no words and no lines, very long ones are taken whole."""
     text = F.coalesce(text, F.lit(""))
     return let(split_words(text), lambda ws: F.struct(
         F.size(ws).cast("long").alias("n_words"),

@@ -217,7 +217,11 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def found_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """(doc_id, spans array<struct<kind, start, end>>) for every row of docs(doc_id, text); null texts are empty."""
+    """(doc_id, spans array<struct<kind, start, end>>) for every row of docs(doc_id, text); null texts are empty.
+
+    Spans are sorted by start, then by the rules' order. Other columns, whatever their names, are ignored; a null id
+    stays null; repeated rows are treated each; very long texts are taken whole; an empty table gives an empty one.
+    """
     names = [r.kind for r in rules]
 
     @tidied
@@ -233,7 +237,8 @@ def found_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> Dat
 
 
 def redacted(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """docs, with all columns and rows, with secrets in text replaced; a null text stays null."""
+    """docs, with all columns, whatever their names, and rows, with secrets in text replaced; a null text stays null. What
+    found_secrets() says of odd rows holds here."""
     at = docs.columns.index("text")
 
     @tidied
@@ -250,6 +255,9 @@ def redacted(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFram
 
 
 def digests(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row of docs(doc_id, text): how many spans the
+    base rules have, the digest of these spans as kind:start:end joined by commas, and all spans joined so. What
+    found_secrets() says of odd rows holds here."""
     names = [r.kind for r in rules]
     base = len(BASE_RULES)
 

@@ -122,7 +122,11 @@ class HeapCounter:
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, limit: int = TOKEN_LIMIT) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs(doc_id, text); null texts count as empty."""
+    """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs(doc_id, text); null texts count as empty.
+
+    Other columns, whatever their names, are ignored; a null id
+    stays null; repeated rows are treated each; very long texts are taken whole; an empty table gives an empty one.
+    """
     data = docs.sparkSession.sparkContext.broadcast(file_bytes(path))
 
     @tidied
@@ -271,7 +275,11 @@ class EditableEncoding:
 
 
 def encoded(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """(doc_id, ids, n_tokens) for every row of docs(doc_id, text); null texts are empty."""
+    """(doc_id, ids, n_tokens) for every row of docs(doc_id, text); null texts are empty.
+
+    Other columns, whatever their names, are ignored; a null id
+    stays null; repeated rows are treated each; very long texts are taken whole; an empty table gives an empty one.
+    """
     data = docs.sparkSession.sparkContext.broadcast(file_bytes(path))
 
     @tidied
@@ -286,7 +294,8 @@ def encoded(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN
 
 
 def encoding_digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, and the ids decoded again."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, and the ids decoded again. Odd rows are treated
+    as by encoded()."""
     data = docs.sparkSession.sparkContext.broadcast(file_bytes(path))
 
     @tidied
