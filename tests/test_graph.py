@@ -1,6 +1,7 @@
 """Hand-made graphs, invariants, statistics and agreement with SQL."""
 
 import math
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from wanderframe.operators.graph import Graph
 from wanderframe.operators.walker import visit_counts, visits, walk
 from wanderframe.plans.metrics import Metrics
 from wanderframe.plans.options import options, read_arguments, read_config
-from wanderframe.sources import edgelist
+from wanderframe.sources import binary, edgelist
 from wanderframe.streaming.edge_stream import streamed_degrees, streamed_edges
 
 SF = "/root/testdata/sf0.001"
@@ -309,3 +310,14 @@ def test_jobs_measure_errors_and_mend_unfinished_graphs(spark, tmp_path):
     with pytest.raises(ValueError, match="file and out"):
         jobs.run(spark, "pagerank", [])
     assert jobs.main(["nothing"]) == 2
+
+
+@pytest.mark.parametrize("stride", [2, 1 << 14])
+def test_binary_files(spark, tmp_path, stride):
+    (tmp_path / "beg_pos").write_bytes(struct.pack("<11Q", 0, 3, 4, 7, 7, 7, 7, 7, 7, 7, 7))
+    (tmp_path / "csr").write_bytes(struct.pack("<7I", 1, 3, 4, 2, 0, 6, 7))
+    assert rows(binary.read_csr(spark, str(tmp_path / "beg_pos"), str(tmp_path / "csr"), stride)) == [(0, 1), (0, 3), (0, 4), (1, 2), (2, 0), (2, 6), (2, 7)]
+    (tmp_path / "v").write_bytes(struct.pack("<3f", 0.5, 0.25, 4))
+    assert rows(binary.read_vertex_values(spark, str(tmp_path / "v"), binary.FLOAT)) == [(0, 0.5), (1, 0.25), (2, 4.0)]
+    (tmp_path / "c").write_bytes(struct.pack("<2I", 7, 4_000_000_000))
+    assert rows(binary.read_vertex_values(spark, str(tmp_path / "c"))) == [(0, 7), (1, 4_000_000_000)]
