@@ -159,11 +159,12 @@ class PrefixEncoder:
         self.findall = regex.compile(pattern).findall
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
-        # endings[b]: the lengths that tokens ending in these two bytes have, longest first
+        # endings[b]: the lengths that tokens ending in these four bytes have, longest first, and then 3 and 2
         lengths: dict[bytes, set[int]] = {}
         for t in self.ranks:
-            lengths.setdefault(t[-2:], set()).add(len(t))
-        self.endings = {e: sorted(x, reverse=True) for e, x in lengths.items()}
+            if len(t) >= 4:
+                lengths.setdefault(t[-4:], set()).add(len(t))
+        self.endings = {e: (*sorted(x, reverse=True), 3, 2) for e, x in lengths.items()}
         self.memo = _Memo(self._piece)
 
     def split(self, token: int) -> tuple[int, int] | None:
@@ -205,15 +206,11 @@ class PrefixEncoder:
 
     def extend(self, data: bytes, last: list[int], upto: int) -> None:
         """Fills last, the last token of each prefix, from prefix len(last) + 1 to prefix upto."""
-        ranks, bytes_of = self.ranks, self.bytes_of
+        ranks, endings, split, may_follow = self.ranks, self.endings, self.split, self.may_follow
         for end in range(len(last) + 1, upto + 1):
-            for k in self.endings.get(data[max(0, end - 2) : end], ()) if end > 1 else ():
-                if k <= 1 or k > end:
-                    continue
-                token = ranks.get(data[end - k : end])
-                if token is None or self.split(token) == (-1, -1):
-                    continue
-                if k == end or self.may_follow(last[end - k - 1], token):
+            for k in endings.get(data[end - 4 : end], (3, 2)) if end >= 4 else (3, 2)[3 - min(end, 3) :]:
+                token = ranks.get(data[end - k : end]) if k <= end else None
+                if token is not None and (k == end or may_follow(last[end - k - 1], token)) and split(token) != (-1, -1):
                     last.append(token)
                     break
             else:
